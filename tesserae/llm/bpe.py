@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import ahocorasick
 import regex
 
 #: The split of byte-level BPE vocabularies of this kind, as their tokenizer files name it.
@@ -21,7 +22,7 @@ _NARROW = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{
 _WIDE = regex.compile(PATTERN)
 _BEYOND = re.compile("[^\x00-ɏ]")
 #: Words kept in a cache before it starts again; common words are back at once.
-CACHE = 200_000
+CACHE = 500_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -49,18 +50,30 @@ class Vocabulary:
             a, b = self.ids[as_bytes(a)], self.ids[as_bytes(b)]
             self.rank[a, b] = (i, self.ids[self.bytes_of[a] + self.bytes_of[b]])
         self.sound: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.made = {t: (i, a, b) for (a, b), (i, t) in reversed(self.rank.items())}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
+    @cached_property
+    def tails(self) -> dict[bytes, int]:
+        """Every ending of every token: its id, or -1 where it is an ending only."""
+        return {k[i:]: -1 for k in self.ids for i in range(len(k))} | self.ids
+
+    @cached_property
+    def finder(self) -> ahocorasick.Automaton:
+        """Finds all tokens within a text whose characters stand for bytes; a find is (id, length)."""
+        out = ahocorasick.Automaton()
+        for k, t in self.ids.items():
+            out.add_word(k.decode("latin-1"), (t, len(k)))
+        out.make_automaton()
+        return out
+
     def merged(self, piece: bytes) -> list[int]:
-        """The merges, one by one in the order of their ranks; used on pairs of tokens only."""
+        """The merges, one by one in the order of their ranks; used on single tokens only."""
         out = [self.ids[piece[i : i + 1]] for i in range(len(piece))]
-        while len(out) > 1:
-            best = min((self.rank[p][0], i) for i, p in enumerate(zip(out, out[1:])) if p in self.rank) if any(p in self.rank for p in zip(out, out[1:])) else None
-            if best is None:
-                break
-            i = best[1]
-            out[i : i + 2] = [self.rank[out[i], out[i + 1]][1]]
+        while found := [(self.rank[p], i) for i, p in enumerate(zip(out, out[1:], strict=False)) if p in self.rank]:
+            (_, t), i = min(found)
+            out[i : i + 2] = [t]
         return out
 
     def is_sound(self, t: int) -> bool:
@@ -68,27 +81,49 @@ class Vocabulary:
             ok = self.sound[t] = self.merged(self.bytes_of[t]) == [t]
         return ok
 
+    def edge(self, t: int, side: int) -> list[tuple[int, float]]:
+        """What stands at the left (1) or right (2) end of t while it is being merged: token, and rank of the merge that takes it in."""
+        out, until = [], float("inf")
+        while True:
+            out.append((t, until))
+            if t not in self.made:
+                return out
+            until, t = self.made[t][0], self.made[t][side]
+
     def is_next(self, a: int, b: int) -> bool:
-        if (ok := self.fits.get((a, b))) is None:
-            if len(self.fits) > 2_000_000:
+        """Whether a and b stay apart: no pair that meets at their border merges while both of it stand there. Of equal merges the left one goes first."""
+        key = a << 32 | b
+        if (ok := self.fits.get(key)) is None:
+            if len(self.fits) > 1_000_000:
                 self.fits.clear()
-            ok = self.fits[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            ok = self.is_sound(b) and not any((m := self.rank.get((x, y))) and m[0] < till and m[0] <= until for x, till in self.edge(a, 2) for y, until in self.edge(b, 1))
+            self.fits[key] = ok
         return ok
 
     def last_token(self, path: bytes, last: list[int]) -> int:
         """The last token of the prefix path; last[i]: that of its first i bytes (last[0] unused)."""
         n = len(path)
-        ids, fits = self.ids, self.fits
-        for j in range(max(0, n - self.longest), n):
-            t = ids.get(path[j:])
-            if t is not None:
-                if not j:
-                    if self.is_sound(t):
-                        return t
-                elif (fits.get((last[j], t)) or ((last[j], t) not in fits and self.is_next(last[j], t))) and self.is_sound(t):
-                    return t
+        tails, fits = self.tails, self.fits
+        for j in range(n - 1, -1, -1):
+            t = tails.get(path[j:])
+            if t is None:
+                break
+            if t >= 0 and ((fits[key] if (key := last[j] << 32 | t) in fits else self.is_next(last[j], t)) if j else self.is_sound(t)):
+                return t
         raise ValueError("no token ends here")
 
+    def prefixes(self, word: bytes) -> list[int]:
+        """Token counts of all prefixes of a pre-token, the empty one first: each from the prefix before its last token."""
+        fits = self.fits
+        last, counts = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        for end, (t, n) in self.finder.iter(word.decode("latin-1")):
+            end += 1
+            if last[end] < 0:
+                j = end - n
+                if (fits[key] if (key := last[j] << 32 | t) in fits else self.is_next(last[j], t)) if j else self.is_sound(t):
+                    last[end], counts[end] = t, counts[j] + 1
+        return counts
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:

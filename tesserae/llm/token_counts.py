@@ -30,12 +30,8 @@ class Counts(dict):
         if word in self.v.special:
             return (0, 1)
         raw = word.encode()
-        last, counts = [0], [0]
-        for i in range(1, len(raw) + 1):
-            t = self.v.last_token(raw[:i], last)
-            last.append(t)
-            counts.append(counts[i - len(self.v.bytes_of[t])] + 1)
-        out = bytes(counts) if counts[-1] < 256 and max(counts) < 256 else tuple(counts)
+        counts = self.v.prefixes(raw)
+        out = bytes(counts) if max(counts) < 256 else tuple(counts)
         if len(raw) <= 64:
             self[word] = out
         return out
