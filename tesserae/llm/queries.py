@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe_trie, token_counts
+from tesserae.llm import bpe_trie, common, quality, simhash, token_counts
 
 #: The vocabulary of the token queries; the operators take any.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,7 +25,18 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = common.cut(quality.measures(table(spark, sf_dir, "documents")), "measures")
+    return quality.quality_rules(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash": op5_simhash,
+    "op10_quality_rules": op10_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
