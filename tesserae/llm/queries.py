@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.llm import bpe_trie, common, quality, simhash, token_counts
+from tesserae.llm import bpe_trie, common, packing, quality, simhash, token_counts, toxicity
 
 #: The vocabulary of the token queries; the operators take any.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +26,17 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_from(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return toxicity.score(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, window=1024)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
 
@@ -35,6 +47,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op6_token_counts": op6_token_counts,
