@@ -101,3 +101,20 @@ def quality_rules(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFram
     verdict = host_verdicts(measured, host_rate).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     rows = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     return rows.join(verdict.select("host", "salt", "host_ok", "shrunk_rate"), ["host", "salt"], "left").withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("salt")
+
+
+def filter_rows(docs: DataFrame, refused_hosts: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """docs without rows that fail the document rules or are of a refused host (column host); all columns stay. Refused hosts come by an anti join, documents by one pass."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for t in batch.column(at).to_pylist():
+                n, _, _, _, repeated = counts((t or "").encode())
+                keep.append(n >= 50 and 100 * repeated <= 50 * n)
+            if keep:
+                yield batch.filter(pa.array(keep))
+
+    passed = docs.mapInArrow(run, docs.schema)
+    return passed.join(refused_hosts, F.coalesce(passed[host_col], F.lit("")) == refused_hosts["host"], "left_anti").select(*docs.columns)
