@@ -133,7 +133,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     dealt = nodes.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     dealt = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "mult", "raw")
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         out = []
         block, size = table.column("block").to_numpy(), np.array([len(x) for x in table.column("raw").to_pylist()])
         for k in np.unique(size):

@@ -126,7 +126,7 @@ def links(distinct: DataFrame, radius: int = 2, shard: int = SHARD, sample: int
                 if reach.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(reach.sum(), s, np.int32)), pa.array(fp[reach].view(np.int64)), pa.array(own[reach])], names=["shard", "fp", "own"])
 
-    def search(key, table: pa.Table) -> pa.Table:
+    def search(key, table):
         fp = table.column("fp").to_numpy().view(np.uint64)
         own = table.column("own").to_numpy()
         forest, a, b = Forest(), [], []

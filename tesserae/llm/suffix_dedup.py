@@ -177,7 +177,7 @@ def _found(marks: np.ndarray, rest: np.ndarray | None = None) -> pa.Table:
     })
 
 
-def _name_shard(key, table: pa.Table) -> pa.Table:
+def _name_shard(key, table):
     """Anchors of a shard: marks for contexts that came before, and the anchors whose hash has several contexts."""
     parts, marks = [np.empty(0, ANCHOR)], [np.empty(0, MARK)]
     for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
@@ -217,7 +217,7 @@ def _send_contexts(shards: int):
     return run
 
 
-def _sort_shard(key, table: pa.Table) -> pa.Table:
+def _sort_shard(key, table):
     rows, contexts = [np.empty(0, ANCHOR)], []
     for blob in table.column("blob").to_pylist():
         raw = zstandard.ZstdDecompressor().decompress(blob)
