@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.tables import cut
+
 
 def alpha_statistics(px: DataFrame) -> DataFrame:
     n = F.count("*")
@@ -91,22 +93,25 @@ def mirror(px: DataFrame, width: int) -> DataFrame:
     return px.withColumn("x", width - 1 - F.col("x"))
 
 
-def components(px: DataFrame, rounds: int = 12) -> DataFrame:
+def components(px: DataFrame, rounds: int = 64) -> DataFrame:
     """(image, x, y, label) of visible pixels, 8-connected; the label is the least pixel number of the component.
 
     A neighbour step is one aggregate: each pixel sends its label to its nine places and takes the least that arrives; then it
-    takes the label of its label, which halves chains. rounds bounds the plan: images of side s need about 2 log2(s*s) of them.
+    takes the label of its label, which halves chains. Each round is cut; the rounds end when no label changes.
     """
     side = 1 << 16
-    v = px.where("alpha > 0").select("image", "x", "y", (F.col("y") * side + F.col("x")).alias("id"))
-    state = v.withColumn("label", F.col("id"))
+    v = cut(px.where("alpha > 0").select("image", "x", "y", (F.col("y") * side + F.col("x")).alias("id")), "pixels")
+    state, before = v.withColumn("label", F.col("id")), None
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    for k in range(rounds):
+    for _ in range(rounds):
         sent = state.select("image", F.explode(steps).alias("s"), "x", "y", "label").select("image", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "label")
-        low = sent.groupBy("image", "x", "y").agg(F.min("label").alias("label"))
-        state = v.join(low, ["image", "x", "y"])
-        roots = state.select("image", F.col("id").alias("label"), F.col("label").alias("up"))
-        state = state.join(roots, ["image", "label"]).select("image", "x", "y", "id", F.col("up").alias("label"))
+        low = cut(v.join(sent.groupBy("image", "x", "y").agg(F.min("label").alias("label")), ["image", "x", "y"]), "labels")
+        roots = low.select("image", F.col("id").alias("label"), F.col("label").alias("up"))
+        state = cut(low.join(roots, ["image", "label"]).select("image", "x", "y", "id", F.col("up").alias("label")), "labels")
+        after = state.agg(F.sum("label")).first()[0]
+        if after == before:
+            break
+        before = after
     return state.select("image", "x", "y", "label")
 
 

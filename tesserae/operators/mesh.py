@@ -93,7 +93,7 @@ def within_factor(a: str, b: str, factor: int = 2) -> Column:
 def sibling_flags(f: DataFrame) -> DataFrame:
     """f with alpha_overlay, has_additive_twin, contained, jpeg_under_tga, has_tga_sibling. f has nv, nt, boxes, path, width, height."""
     p, o = F.col("path"), F.col("o_path")
-    alpha = is_tga(p) & is_jpeg(o) & (F.col("o_nv") > 0) & (F.col("o_nt") > 0) & ~is_additive(o) & ~((F.col("o_nv") <= 12) & (F.col("o_width") <= 32) & (F.col("o_height") <= 32)) & within_factor("nv", "o_nv") & within_factor("nt", "o_nt") & boxes_overlap() & ~ratio_exceeds(1.7)
+    alpha = is_tga(p) & is_jpeg(o) & (F.col("o_nv") > 0) & (F.col("o_nt") > 0) & ~is_additive(o) & ~F.coalesce((F.col("o_nv") <= 12) & (F.col("o_width") <= 32) & (F.col("o_height") <= 32), F.lit(False)) & within_factor("nv", "o_nv") & within_factor("nt", "o_nt") & boxes_overlap() & ~ratio_exceeds(1.7)
     twin = is_additive(o) & (F.col("nv") == F.col("o_nv")) & (F.col("nt") == F.col("o_nt"))
     inside = sum(((F.col(f"min_{k}") >= F.col(f"o_min_{k}") - 1) & (F.col(f"max_{k}") <= F.col(f"o_max_{k}") + 1)).cast("int") for k in AXES)
     contained = (F.col("o_nv") > F.col("nv")) & (F.col("nv") > 0) & (inside >= 2)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import linalg as L
+from tesserae.operators.tables import cut
 
 
 def local_matrix(rx: Column, ry: Column, rz: Column, tx: Column, ty: Column, tz: Column) -> Column:
@@ -21,8 +22,11 @@ def chains(bones: DataFrame, depth: int = 100) -> DataFrame:
     jump = up.where("parent is not null").select(F.col("bone").alias("b"), F.col("parent").alias("p"))
     reach = 1
     while reach <= depth:
+        jump = cut(jump, "jump")
+        if jump.isEmpty():
+            break
         more = known.join(jump, F.col("ancestor") == F.col("b")).select("bone", F.col("p").alias("ancestor"), (F.col("steps") + reach).alias("steps"))
-        known = known.union(more)
+        known = cut(known.union(more), "chains")
         jump = jump.join(jump.select(F.col("b").alias("b2"), F.col("p").alias("p2")), F.col("p") == F.col("b2")).select("b", F.col("p2").alias("p"))
         reach *= 2
     return known

@@ -1 +1,34 @@
+"""Byte ciphers over document texts: the XOR family against SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.functions import ciphers as C
+from tesserae.plans.bindings import table
+from tesserae.plans.registry import query
+
+#: Test keys.
+KEY3, KEY16 = (1, 2, 3), tuple(range(16))
+BYTES = "b as (select doc_id, i, ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::int as c from (select doc_id, text, unnest(generate_series(0, least(strlen(text), 400) - 1)) as i from documents where text is not null and text <> '' and doc_id < 400))"
+
+
+def head(spark, sf):
+    """The first 400 bytes of some documents: the query checks byte arithmetic, which is the same at every length."""
+    return table(spark, sf, "documents").where("text is not null and text <> '' and doc_id < 400").select("doc_id", C.byte_array(F.substring(F.col("text").cast("binary"), 1, 400)).alias("b"))
+
+
+def summed(c):
+    total = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    mixed = F.aggregate(F.transform(c, lambda x, i: (x * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return [F.size(c).cast("long").alias("n"), total.alias("total"), mixed.alias("mixed")]
+
+
+@query(f"with {BYTES}, x as (select doc_id, i, xor(c, (i % 3 + 1)::int) as c from b) select doc_id, count(*) as n, sum(c)::bigint as total, sum(c * (i + 1))::bigint as mixed from x group by doc_id")
+def D2_repeating_xor(spark, sf):
+    return head(spark, sf).withColumn("x", C.repeating_xor(F.col("b"), KEY3)).select("doc_id", *summed(F.col("x")))
+
+
+@query(f"with {BYTES}, x as (select doc_id, i, (xor(c, (i % 16)::int) - coalesce((lag(c) over (partition by doc_id order by i) + 61) % 256, 94) + 512) % 256 as c from b) select doc_id, count(*) as n, sum(c)::bigint as total, sum(c * (i + 1))::bigint as mixed from x group by doc_id")
+def D1_chained_xor(spark, sf):
+    return head(spark, sf).withColumn("x", C.chained_xor(F.col("b"), KEY16)).select("doc_id", *summed(F.col("x")))

@@ -184,7 +184,7 @@ def M1_pass_classifier(spark, sf):
     return M.passes(f, M.in_list(F.col("path"), F.array(F.lit("hilt"))), False).select("item", "mesh", "pass")
 
 
-@query(f"with {FEATURES}, d as (select a.item, a.mesh, bool_or(o.mesh < a.mesh and a.ext = '.tga' and a.min_x >= o.min_x - 2 and a.max_x <= o.max_x + 2 and a.min_y >= o.min_y - 2 and a.max_y <= o.max_y + 2) as decoration from m a join m o on a.item = o.item and a.mesh <> o.mesh group by 1, 2) select m.item, m.mesh, coalesce(d.decoration, false) as decoration, case when coalesce(d.decoration, false) then 1000000.0 else 0.0 end as z_bias from m left join d on m.item = d.item and m.mesh = d.mesh")
+@query(f"with {FEATURES}, d as (select a.item, a.mesh, bool_or(o.mesh < a.mesh and a.ext = '.tga' and a.min_x >= o.min_x - 2 and a.max_x <= o.max_x + 2 and a.min_y >= o.min_y - 2 and a.max_y <= o.max_y + 2) as decoration from m a join m o on a.item = o.item and a.mesh <> o.mesh group by 1, 2) select m.item, m.mesh, coalesce(d.decoration, false) as decoration, case when coalesce(d.decoration, false) then 1000000.0 else 0.0 end::double as z_bias from m left join d on m.item = d.item and m.mesh = d.mesh")
 def M10_decoration_bias(spark, sf):
     rows = M.inside_earlier(meshes(spark, sf))
     return rows.select("item", "mesh", "decoration", F.when(F.col("decoration"), 1e6).otherwise(0.0).alias("z_bias"))
