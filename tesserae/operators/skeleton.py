@@ -38,7 +38,8 @@ def world_matrices(bones: DataFrame, depth: int = 100) -> DataFrame:
     path = c.groupBy("bone").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("k"), "local"))).alias("path"))
 
     def product(a: Column, b: Column) -> Column:
-        return F.array(*L.matmul([F.get(a, F.lit(i)) for i in range(16)], [F.get(b["local"], F.lit(i)) for i in range(16)], 4))
+        cell = lambda k: sum((F.get(a, k - k % 4 + j) * F.get(b["local"], k % 4 + 4 * j) for j in range(1, 4)), F.get(a, k - k % 4) * F.get(b["local"], k % 4))
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), cell)
 
     start = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
     return path.select("bone", F.aggregate("path", start, product).alias("world"))
