@@ -21,9 +21,9 @@ TEXT_TYPE, FIELDS_TYPE = "text/plain; charset=utf-8", "application/warc-fields"
 
 
 def text_steps() -> list[tuple[str, str]]:
-    """Pattern and replacement, one after the other, from HTML to text; the syntax is common to Java and RE2."""
+    """Pattern and replacement, one after the other, from HTML to text; the syntax is common to Java and RE2. White space of the source is one space, in pre too."""
     out = [(r"(?s)<!--.*?-->", ""), *((rf"(?is)<{e}\b.*?</{e}\s*>", "") for e in SILENT)]
-    out += [(rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n"), (r"<[^>]*>", "")]
+    out += [(r"[ \t\r\n\f\x0B]+", " "), (rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n"), (r"<[^>]*>", "")]
     out += [(a, b) for a, b in REFERENCES]
     return out + [(r"[ \t\r\f\x0B]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"^[ \n]+|[ \n]+$", "")]
 
