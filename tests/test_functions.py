@@ -60,3 +60,14 @@ def test_components_touch_diagonally(spark):
     labels = images.components(px).collect()
     assert len(labels) == 3 and len({r.label for r in labels}) == 2
     assert images.largest_component(images.components(px)).first()["size"] == 2
+
+
+def test_idea_and_gost():
+    from tesserae.functions import more_ciphers as more
+
+    key = bytes.fromhex("00010002000300040005000600070008")
+    assert more.idea(bytes.fromhex("0000000100020003"), key, decrypt=False).hex() == "11fbed2b01986de5"
+    data = bytes(np.random.default_rng(3).integers(0, 256, 83, dtype=np.uint8))
+    assert more.idea(more.idea(data, KEY[:16], decrypt=False), KEY[:16]) == data
+    boxes = [np.random.default_rng(i).permutation(16).tolist() for i in range(8)]
+    assert more.gost(more.gost(data, KEY, boxes, decrypt=False), KEY, boxes) == data
