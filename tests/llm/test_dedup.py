@@ -224,7 +224,7 @@ def test_quality_counts_and_hosts(spark, odd, empty):
     assert not hosts["bad"].host_ok and hosts["good"].host_ok
     assert 0.4 < hosts["tiny"].shrunk_rate < 0.95  # one document hardly moves it off the mean
     kept = {r.doc_id: r.kept for r in quality.quality_rules(m).collect()}
-    assert not kept[0] and kept[1000] and not kept[1001] and kept[5001] == (hosts[""].host_ok)
+    assert not kept[0] and not kept[1] and not kept[1000] and kept[1001] and kept[5001] == (hosts[""].host_ok)
     measured = quality.measures(odd)
     assert quality.quality_rules(measured).count() == odd.count()
     assert quality.quality_rules(quality.measures(empty)).count() == 0
