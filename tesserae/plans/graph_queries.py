@@ -9,7 +9,7 @@ from tesserae.plans.bindings import table
 from tesserae.plans.registry import query
 
 PAIRS = "pairs as (select distinct l_orderkey % 3 as g, l_partkey as a, 1000000 + l_suppkey as b from lineitem where l_orderkey < 60), nodes as (select g, a as v from pairs union select g, b from pairs)"
-LABELS = f"with recursive {PAIRS}, both as (select g, a, b from pairs union select g, b, a from pairs), reach as (select g, v, v as label from nodes union select r.g, e.b, r.label from reach r join link e on r.g = e.g and r.v = e.a where e.b > r.label), lab as (select g, v, min(label) as label from reach group by g, v)"
+LABELS = f"with recursive {PAIRS}, link as (select g, a, b from pairs union select g, b, a from pairs), reach as (select g, v, v as label from nodes union select r.g, e.b, r.label from reach r join link e on r.g = e.g and r.v = e.a where e.b > r.label), lab as (select g, v, min(label) as label from reach group by g, v)"
 
 
 def labelled(spark, sf):
