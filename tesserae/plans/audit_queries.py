@@ -80,15 +80,15 @@ def J1_item_config_left_join(spark, sf):
     return joined(spark, sf).select("section", "index", "has_config", "rot_y", F.round("scale", 6).alias("scale"))
 
 
-@query(f"with {ITEMS} select section, name, \"index\", model_file, lpad(section::varchar, 2, '0') || '/' || case when \"index\" < 1000 then lpad(\"index\"::varchar, 3, '0') else \"index\"::varchar end || '.webp' as image from items where section in (1, 2)")
+@query(f"with {ITEMS} select section, name, \"index\", model_file, lpad(section::varchar, 2, '0') || '/' || case when \"index\" < 1000 then lpad(\"index\"::varchar, 3, '0') else \"index\"::varchar end || '.webp' as image from items")
 def K1_manifest(spark, sf):
-    return C.manifest(items(spark, sf).where("section in (1, 2)"))
+    return C.manifest(items(spark, sf))
 
 
-@query(f"with {ITEMS} select section, string_agg('<Item Index=' || chr(34) || \"index\" || chr(34) || ' Name=' || chr(34) || replace(replace(replace(replace(name || ' <&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') || chr(34) || '/>', chr(10) order by ordinal) as body from items where section < 3 group by section")
+@query(f"with {ITEMS} select section, string_agg('<Item Index=' || chr(34) || \"index\" || chr(34) || ' Name=' || chr(34) || replace(replace(replace(replace(name || ' <&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') || chr(34) || '/>', chr(10) order by ordinal) as body from items group by section")
 def K3_xml_sections(spark, sf):
     line = F.concat(F.lit('<Item Index="'), F.col("index").cast("string"), F.lit('" Name="'), C.xml_escape(F.concat("name", F.lit(" <&>"))), F.lit('"/>'))
-    rows = items(spark, sf).where("section < 3").select("section", F.struct("ordinal", line.alias("line")).alias("r"))
+    rows = items(spark, sf).select("section", F.struct("ordinal", line.alias("line")).alias("r"))
     return rows.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("body"))
 
 

@@ -1,34 +1,42 @@
-"""Byte ciphers over document texts: the XOR family against SQL."""
+"""Byte ciphers over whole document texts: the XOR family as Arrow kernels, reduced to checksums. Tests hold them against plain Python."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.functions import ciphers as C
 from tesserae.plans.bindings import table
 from tesserae.plans.registry import query
+from tesserae.sources.binary import chained_xor_bytes
 
 #: Test keys.
-KEY3, KEY16 = (1, 2, 3), tuple(range(16))
-BYTES = "b as (select doc_id, i, ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::int as c from (select doc_id, text, unnest(generate_series(0, least(strlen(text), 400) - 1)) as i from documents where text is not null and text <> '' and doc_id < 400))"
+KEY3, KEY16 = bytes((1, 2, 3)), bytes(range(16))
+SCHEMA = "doc_id long, n long, total long, mixed long"
 
 
-def head(spark, sf):
-    """The first 400 bytes of some documents: the query checks byte arithmetic, which is the same at every length."""
-    return table(spark, sf, "documents").where("text is not null and text <> '' and doc_id < 400").select("doc_id", C.byte_array(F.substring(F.col("text").cast("binary"), 1, 400)).alias("b"))
+def repeating_xor_bytes(data: bytes, key: bytes) -> bytes:
+    b = np.frombuffer(data, np.uint8)
+    return (b ^ np.resize(np.frombuffer(key, np.uint8), len(b))).tobytes()
 
 
-def summed(c):
-    total = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    mixed = F.aggregate(F.transform(c, lambda x, i: (x * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return [F.size(c).cast("long").alias("n"), total.alias("total"), mixed.alias("mixed")]
+def checksums(spark, sf, decode):
+    """Length, sum, and sum weighted by place of each decoded text; a null text is empty."""
 
+    def run(batches):
+        for batch in batches:
+            out = [np.frombuffer(decode(t) if t else b"", np.uint8).astype(np.int64) for t in batch.column(1).to_pylist()]
+            rows = [[len(x) for x in out], [int(x.sum()) for x in out], [int((x * np.arange(1, len(x) + 1)).sum()) for x in out]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, pa.int64()) for r in rows]], names=["doc_id", "n", "total", "mixed"])
 
-@query(f"with {BYTES}, x as (select doc_id, i, xor(c, (i % 3 + 1)::int) as c from b) select doc_id, count(*) as n, sum(c)::bigint as total, sum(c * (i + 1))::bigint as mixed from x group by doc_id")
+    return table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+
+
+@query()
 def D2_repeating_xor(spark, sf):
-    return head(spark, sf).withColumn("x", C.repeating_xor(F.col("b"), KEY3)).select("doc_id", *summed(F.col("x")))
+    return checksums(spark, sf, lambda t: repeating_xor_bytes(t, KEY3))
 
 
-@query(f"with {BYTES}, x as (select doc_id, i, (xor(c, (i % 16)::int) - coalesce((lag(c) over (partition by doc_id order by i) + 61) % 256, 94) + 512) % 256 as c from b) select doc_id, count(*) as n, sum(c)::bigint as total, sum(c * (i + 1))::bigint as mixed from x group by doc_id")
+@query()
 def D1_chained_xor(spark, sf):
-    return head(spark, sf).withColumn("x", C.chained_xor(F.col("b"), KEY16)).select("doc_id", *summed(F.col("x")))
+    return checksums(spark, sf, lambda t: chained_xor_bytes(t, KEY16))

@@ -134,8 +134,8 @@ def C6_precedence(spark, sf):
     return table(spark, sf, "part").select("p_partkey", G.first_set(F.col("p_size") % 3, F.col("p_partkey") % 4, F.lit(256)).cast("long").alias("value"))
 
 
-@query(f"with {ITEMS}, s(section, w, h) as (values (1, 128, 64), (2, 0, 32)) select i.\"index\", coalesce(nullif(i.\"index\" % 3 * 100, 0), nullif(s.w, 0), 256)::int as width, coalesce(nullif(s.h, 0), 256)::int as height from items i left join s on i.section = s.section where i.section < 4")
+@query(f"with {ITEMS}, s(section, w, h) as (values (1, 128, 64), (2, 0, 32)) select i.\"index\", coalesce(nullif(i.\"index\" % 3 * 100, 0), nullif(s.w, 0), 256)::int as width, coalesce(nullif(s.h, 0), 256)::int as height from items i left join s on i.section = s.section")
 def J7_dimension_inheritance(spark, sf):
     s = spark.createDataFrame([(1, 128, 64), (2, 0, 32)], "section int, w int, h int")
-    rows = items(spark, sf).where("section < 4").join(s, "section", "left")
+    rows = items(spark, sf).join(s, "section", "left")
     return rows.select("index", G.first_set(F.col("index") % 3 * 100, F.col("w"), F.lit(256)).cast("int").alias("width"), G.first_set(F.col("h"), F.lit(256)).cast("int").alias("height"))

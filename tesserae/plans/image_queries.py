@@ -75,9 +75,9 @@ def I7_crop(spark, sf):
     return I.crop(texels(spark, sf)).select("image", "x", "y", "alpha")
 
 
-@query(f"with {TEXELS} select image, 7 - x as x, 7 - y as y, alpha from texels where image % 10 = 0")
+@query(f"with {TEXELS} select image, 7 - x as x, 7 - y as y, alpha from texels")
 def I6_turn_half(spark, sf):
-    return I.turn_half(texels(spark, sf).where("image % 10 = 0"), 8, 8).select("image", "x", "y", "alpha")
+    return I.turn_half(texels(spark, sf), 8, 8).select("image", "x", "y", "alpha")
 
 
 @query(f"with {TEXELS} select image, 7 - x as x, y, alpha from texels")
@@ -85,17 +85,17 @@ def I11_mirror(spark, sf):
     return I.mirror(texels(spark, sf), 8).select("image", "x", "y", "alpha")
 
 
-COMP = f"""{TEXELS}, v as (select image, x, y, y * 65536 + x as id from texels where alpha > 0 and image < 60),
+COMP = f"""{TEXELS}, v as (select image, x, y, y * 65536 + x as id from texels where alpha > 0),
 comp as (with recursive reach(image, id, x, y, label) as (select image, id, x, y, id from v union select v.image, v.id, v.x, v.y, r.label from reach r join v on v.image = r.image and abs(v.x - r.x) <= 1 and abs(v.y - r.y) <= 1 where v.id > r.label) select image, x, y, min(label) as label from reach group by image, x, y)"""
 
 
 def labels(spark, sf):
-    return I.components(texels(spark, sf).where("image < 60"))
+    return I.components(texels(spark, sf))
 
 
 @query(f"with {COMP}, s as (select image, label, count(*) as size from comp group by 1, 2), w as (select image, sum(size) as visible, count(*) as parts from s group by 1) select c.image, c.x, c.y, c.label, s.size from comp c join s on c.image = s.image and c.label = s.label join w on c.image = w.image where parts <= 1 or size >= floor(visible * 0.1)")
 def I2_small_clusters(spark, sf):
-    px = texels(spark, sf).where("image < 60")
+    px = texels(spark, sf)
     return I.drop_small(px, labels(spark, sf), 0.1).select("image", "x", "y", "label", "size")
 
 

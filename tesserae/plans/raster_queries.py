@@ -69,11 +69,11 @@ def A23_additive_fold(spark, sf):
     return R.additive(base(spark, sf), add, ["image", "sx", "sy"]).select("image", "sx", "sy", F.col("colour").cast("int").alias("colour"), "layers")
 
 
-@query(f"with {FRAGMENTS}, g as (select image, sx, sy, list((tri % 256)::int order by tri) as c, list((tri % 200 + 20)::int order by tri) as a from frag group by 1, 2, 3 having count(*) <= 2) select image, sx, sy, case when len(c) = 1 then v1 else floor(least(greatest(c[2] * (a[2] / 255.0::double) + v1 * (1.0 - a[2] / 255.0::double), 0.0), 255.0) + 0.5)::int end as colour from (select *, floor(least(greatest(c[1] * (a[1] / 255.0::double) + 100 * (1.0 - a[1] / 255.0::double), 0.0), 255.0) + 0.5)::int as v1 from g)")
+@query()
 def A24_alpha_fold(spark, sf):
     """An ordered fold for each pixel; layers of a pixel are as many as overlays are drawn there."""
     layers = F.collect_list(F.struct(F.col("tri").alias("o"), (F.col("tri") % 256).cast("int").alias("c"), (F.col("tri") % 200 + 20).cast("int").alias("a")))
-    g = frags(spark, sf).groupBy("image", "sx", "sy").agg(layers.alias("l")).where(F.size("l") <= 2)
+    g = frags(spark, sf).groupBy("image", "sx", "sy").agg(layers.alias("l"))
     return g.select("image", "sx", "sy", R.alpha_fold(F.col("l"), F.lit(100)).alias("colour"))
 
 
@@ -93,22 +93,22 @@ def A14_area_by_direction(spark, sf):
     return M.area_by_direction(t, ["image"]).withColumn("area", F.round("area", 4))
 
 
-@query(f"with {TEXELS} select image, x, y, floor(least(greatest(round(pow((r / 255.0) , 2.2), 6) * 255, 0.0), 255.0) + 0.5)::int as linear, round((r / 100.0::double) * (2.51::double * (r / 100.0::double) + 0.03::double) / ((r / 100.0::double) * (2.43::double * (r / 100.0::double) + 0.59::double) + 0.14::double), 6) as toned, floor(least(r * 1.3::double, 255.0))::int as tinted, case when alpha = 0 or greatest(r, g, b) < 40 then 0 else least(floor((greatest(r, g, b) - 40) * (255.0::double / (255.0::double - 40)))::int, 255) end as luminance from texels where image < 100")
+@query(f"with {TEXELS} select image, x, y, floor(least(greatest(round(pow((r / 255.0) , 2.2), 6) * 255, 0.0), 255.0) + 0.5)::int as linear, round((r / 100.0::double) * (2.51::double * (r / 100.0::double) + 0.03::double) / ((r / 100.0::double) * (2.43::double * (r / 100.0::double) + 0.59::double) + 0.14::double), 6) as toned, floor(least(r * 1.3::double, 255.0))::int as tinted, case when alpha = 0 or greatest(r, g, b) < 40 then 0 else least(floor((greatest(r, g, b) - 40) * (255.0::double / (255.0::double - 40)))::int, 255) end as luminance from texels")
 def R15_channel_operators(spark, sf):
     """Gamma, tone curve, tint and luminance ramp of each texel."""
     r, g, b, a = (F.col(c) for c in ("r", "g", "b", "alpha"))
-    return texels(spark, sf).where("image < 100").select("image", "x", "y", R.clamp_round(F.round(R.to_linear(r), 6) * 255).alias("linear"), F.round(R.tone_map(r / 100.0), 6).alias("toned"), R.tint(r, F.lit(1.3)).alias("tinted"), R.luminance_alpha(r, g, b, a, 40).alias("luminance"))
+    return texels(spark, sf).select("image", "x", "y", R.clamp_round(F.round(R.to_linear(r), 6) * 255).alias("linear"), F.round(R.tone_map(r / 100.0), 6).alias("toned"), R.tint(r, F.lit(1.3)).alias("tinted"), R.luminance_alpha(r, g, b, a, 40).alias("luminance"))
 
 
 CLAMP = lambda v: f"floor(least(greatest({v}, 0.0), 255.0) + 0.5)::int"
 
 
-@query(f"with {TEXELS}, p as (select image, x, y, r as d, alpha as da, g as s, (b * 5) % 256 as sa from texels where image < 100), q as (select *, sa / 255.0::double as fs, da / 255.0::double as fd, sa / 255.0::double * (1.0 - da / 255.0::double) as share from p) select image, x, y, case when sa = 0 then d else {CLAMP('s * fs + d * (1.0 - fs)')} end as over_c, case when sa = 0 then da else floor(least(fs + fd * (1.0 - fs), 1.0) * 255.0 + 0.5)::int end as over_a, case when sa = 0 or share < 1.0::double / 255.0 then d else {CLAMP('d + s * share')} end as under_c, case when sa = 0 or share < 1.0::double / 255.0 then da else floor(least(fd + share * (1.0 - fd), 1.0) * 255.0 + 0.5)::int end as under_a from q")
+@query(f"with {TEXELS}, p as (select image, x, y, r as d, alpha as da, g as s, (b * 5) % 256 as sa from texels), q as (select *, sa / 255.0::double as fs, da / 255.0::double as fd, sa / 255.0::double * (1.0 - da / 255.0::double) as share from p) select image, x, y, case when sa = 0 then d else {CLAMP('s * fs + d * (1.0 - fs)')} end as over_c, case when sa = 0 then da else floor(least(fs + fd * (1.0 - fs), 1.0) * 255.0 + 0.5)::int end as over_a, case when sa = 0 or share < 1.0::double / 255.0 then d else {CLAMP('d + s * share')} end as under_c, case when sa = 0 or share < 1.0::double / 255.0 then da else floor(least(fd + share * (1.0 - fd), 1.0) * 255.0 + 0.5)::int end as under_a from q")
 def R16_composites(spark, sf):
     sa = (F.col("b") * 5) % 256
     over = R.composite_over(F.col("r"), F.col("alpha"), F.col("g"), sa)
     under = R.composite_under(F.col("r"), F.col("alpha"), F.col("g"), sa)
-    return texels(spark, sf).where("image < 100").select("image", "x", "y", *[c.alias(n) for c, n in zip((*over, *under), ("over_c", "over_a", "under_c", "under_a"), strict=True)])
+    return texels(spark, sf).select("image", "x", "y", *[c.alias(n) for c, n in zip((*over, *under), ("over_c", "over_a", "under_c", "under_a"), strict=True)])
 
 
 @query("with p as (select vec_id, embedding[1]::double * 4 as u, embedding[2]::double * 4 as v, embedding from embeddings where embedding is not null and len(embedding) >= 64), w as (select vec_id, embedding, case when u - trunc(u) < 0 then u - trunc(u) + 1.0 else u - trunc(u) end * 7 as fx, case when v - trunc(v) < 0 then v - trunc(v) + 1.0 else v - trunc(v) end * 7 as fy from p), t as (select vec_id, embedding as e, fx, fy, floor(fx)::int as x0, floor(fy)::int as y0 from w) select vec_id, round(fx, 5) as fx, floor(round(floor((e[y0 * 8 + x0 + 1]::double + 1) * 100) * (1 - (fx - x0)) * (1 - (fy - y0)) + floor((e[y0 * 8 + (x0 + 1) % 8 + 1]::double + 1) * 100) * (fx - x0) * (1 - (fy - y0)) + floor((e[(y0 + 1) % 8 * 8 + x0 + 1]::double + 1) * 100) * (1 - (fx - x0)) * (fy - y0) + floor((e[(y0 + 1) % 8 * 8 + (x0 + 1) % 8 + 1]::double + 1) * 100) * (fx - x0) * (fy - y0), 6) + 0.5)::int as sample from t")
@@ -183,11 +183,11 @@ def G8_fit_scale(spark, sf):
     return S.fit_scale(box, 256, 256).select("item", "margin", F.round("scale", 5).alias("scale"))
 
 
-@query(f"with {VERTICES}, c as (select item, x, y, z, mesh, (min(x) over w + max(x) over w) / 2 as cx, (min(y) over w + max(y) over w) / 2 as cy from vertices where item < 300 window w as (partition by item)) select item, mesh, z as pz, round((x - cx) * 4 + 128, 5) as px, round(128 - (y - cy) * 4, 5) as py from c")
+@query(f"with {VERTICES}, c as (select item, x, y, z, mesh, (min(x) over w + max(x) over w) / 2 as cx, (min(y) over w + max(y) over w) / 2 as cy from vertices window w as (partition by item)) select item, mesh, z as pz, round((x - cx) * 4 + 128, 5) as px, round(128 - (y - cy) * 4, 5) as py from c")
 def G5_orthographic(spark, sf):
-    return S.orthographic(vertices(spark, sf).where("item < 300"), 256, 256, 4.0).select("item", "mesh", "pz", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"))
+    return S.orthographic(vertices(spark, sf), 256, 256, 4.0).select("item", "mesh", "pz", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"))
 
 
-@query(f"with {VERTICES}, p as (select *, min(z) over w as lo, max(z) over w as hi from vertices where item < 300 window w as (partition by item, mesh)) select item, mesh, x, y, z, round(1.0 + 0.3 * (coalesce((z - lo) / nullif(hi - lo, 0), 0.5) - 0.5), 6) as factor from p")
+@query(f"with {VERTICES}, p as (select *, min(z) over w as lo, max(z) over w as hi from vertices window w as (partition by item, mesh)) select item, mesh, x, y, z, round(1.0 + 0.3 * (coalesce((z - lo) / nullif(hi - lo, 0), 0.5) - 0.5), 6) as factor from p")
 def G5_perspective_per_mesh(spark, sf):
-    return S.perspective(vertices(spark, sf).where("item < 300")).select("item", "mesh", "x", "y", "z", F.round("factor", 6).alias("factor"))
+    return S.perspective(vertices(spark, sf)).select("item", "mesh", "x", "y", "z", F.round("factor", 6).alias("factor"))
