@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import map_rows
+from tesserae.llm.common import cut, map_rows, small_batches
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 #: A host is refused where its shrunk failure rate is over this; one with few documents stays near the rate of all hosts.
@@ -21,6 +21,8 @@ HOST_RATE = 0.5
 #: The least and most documents that a prior counts for.
 PRIOR = (2.0, 1e6)
 SALTS = 64
+#: Refused hosts that are broadcast, once counted; more go by a salted join.
+BROADCAST_HOSTS = 10_000
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -104,7 +106,7 @@ def quality_rules(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFram
 
 
 def filter_rows(docs: DataFrame, refused_hosts: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs without rows that fail the document rules or are of a refused host (column host); all columns stay. Refused hosts come by an anti join, documents by one pass."""
+    """docs without rows that fail the document rules or are of a refused host (column host); all columns stay. Documents go in one pass; refused hosts are counted, and broadcast if they are few."""
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -116,5 +118,10 @@ def filter_rows(docs: DataFrame, refused_hosts: DataFrame, host_col: str = "sour
             if keep:
                 yield batch.filter(pa.array(keep))
 
-    passed = docs.mapInArrow(run, docs.schema)
-    return passed.join(refused_hosts, F.coalesce(passed[host_col], F.lit("")) == refused_hosts["host"], "left_anti").select(*docs.columns)
+    passed = small_batches(docs).mapInArrow(run, docs.schema)
+    refused_hosts = cut(refused_hosts, "refused")
+    host = F.coalesce(passed[host_col], F.lit(""))
+    if refused_hosts.count() <= BROADCAST_HOSTS:
+        return passed.join(F.broadcast(refused_hosts), host == refused_hosts["host"], "left_anti").select(*docs.columns)
+    salted = refused_hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return passed.join(salted, (host == salted["host"]) & (F.pmod(F.xxhash64(passed[text_col]), F.lit(SALTS)) == salted["_salt"]), "left_anti").select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, small_batches
 
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
@@ -321,15 +321,15 @@ def equal_windows(rows: np.ndarray, contexts: bytes, run: int = RUN) -> np.ndarr
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row as (doc_id, text binary, row struct of all columns, marks array of (start, end)); marks overlap and have no order.
+    """Every row as (doc_id, text binary, row struct of all columns but the text, marks array of (start, end)); marks overlap and have no order.
 
     Earlier is: a smaller id, then, among rows that share an id, a smaller crc32 of the text; rows that share both are one document
     and aren't earlier than each other. Rows without an id come last. Null text: empty. Texts shorter than LENGTH lose nothing.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.crc32(text).alias("tag"), text.alias("text"), F.struct(*df.columns).alias("row"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.crc32(text).alias("tag"), text.alias("text"), F.struct(F.lit(0).alias("_"), *[c for c in df.columns if c != text_col]).alias("row"))
     sent = docs.where(F.length("text") >= LENGTH).select("doc", "tag", "text").mapInArrow(_send_anchors(shards), "shard int, kind int, blob binary")
     found = cut(sent.groupBy("shard").applyInArrow(_name_shard, FOUND), "anchors")
     rest = found.where("h is not null").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "start", "dlo", "dhi")).alias("rest"))
@@ -381,6 +381,6 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             kept = [without(t, merged(m)).decode("utf-8", "ignore") for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
 
-    rows = spans(df, id_col, text_col).select(F.col("row").dropFields(text_col).alias("row") if len(df.columns) > 1 else F.struct(F.lit(0).alias("none")).alias("row"), "text", "marks")
+    rows = spans(df, id_col, text_col).select("row", "text", "marks")
     out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("kept", T.StringType())]))
     return out.select(*[F.col("kept").alias(text_col) if c == text_col else F.col(f"row.{c}").alias(c) for c in df.columns])

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import map_rows, texts_of
+from tesserae.llm.common import map_rows, small_batches, texts_of
 
 #: Bounds of the fitting sample.
 MAX_TOXIC, MAX_ORDINARY, FIT_BYTES = 2400, 6000, 200_000
@@ -193,4 +193,4 @@ def reject(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
                 p = s.scores([(t or "").encode() for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
