@@ -1,10 +1,11 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard on colliding paragraphs, clusters by connected components.
 
 A paragraph is a line of MIN_WORDS words or more; shorter ones are left to rules on lines. Its set is that of its 5-word shingles in
-lower case. With BANDS bands of ROWS rows two paragraphs of Jaccard 0.8 collide with probability 1 - (1 - 0.8**5)**20 = 0.9996.
-Equal paragraphs are one node from the start. Nodes that share a band go to one task with their texts, and are compared there
-unless links found before join them already; a bucket with more than BLOCK nodes is cut into tiles of two blocks each, so no task
-gets an unbounded bucket and no pair is emitted or lost.
+lower case. With BANDS bands of ROWS rows two paragraphs of Jaccard 0.8 collide with probability 1 - (1 - 0.8**4)**14 = 0.9994.
+Equal paragraphs are one node from the start. Nodes that share a band are edges of a star to the least node of the band, and the
+components of those stars are the candidate groups: all colliding pairs lie within one, and each node is sent to its group once,
+with its text. A group is compared there through an index of its shingles; one of more than BLOCK nodes is cut into tiles of two
+blocks each, so no task gets an unbounded group, and no pair is emitted or lost.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Forest, connected_components, cut, texts_of
+from tesserae.llm.common import Forest, connected_components, cut, small_batches, texts_of
 
 SIZE, MIN_WORDS, THRESHOLD = 5, 25, 0.8
-BANDS, ROWS, BLOCK = 20, 5, 2000
+BANDS, ROWS, BLOCK = 14, 4, 2000
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -49,9 +50,19 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def similar(sets: list[np.ndarray], side: np.ndarray):
+    """For each member, the earlier members (of the other side, if there are two) whose Jaccard with it reaches the threshold."""
+    size = np.array([len(x) for x in sets])
+    member = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    values, start = np.unique(np.concatenate(sets)[order], return_index=True)
+    posting, end = member[order], np.r_[start[1:], len(order)]
+    two = len(np.unique(side)) > 1
+    for i, x in enumerate(sets):
+        k = np.searchsorted(values, x)
+        both = np.bincount(np.concatenate([posting[a:b] for a, b in zip(start[k], end[k], strict=True)]), minlength=len(sets))[:i]
+        hit = both >= THRESHOLD * (size[:i] + size[i] - both)
+        yield i, np.flatnonzero(hit & (side[:i] != side[i]) if two else hit)
 
 
 def _paragraphs(batches):
@@ -75,28 +86,14 @@ def _paragraphs(batches):
 
 
 def _verify(batches):
-    """Rows sorted by bucket and tile to links: (a, b) of a spanning forest of the pairs that reach the threshold."""
+    """Rows sorted by group and tile to links: (a, b) of a spanning forest of the pairs that reach the threshold."""
 
-    def links(rows):
-        """rows: (node, side, body). Two sides: pairs across; one: all."""
+    def flush(rows):
         if len(rows) < 2:
             return
-        forest, sets = Forest(), [shingles(r[2].split(b" ")) for r in rows]
-        two = len({r[1] for r in rows}) > 1
-        for i in range(len(rows)):
-            tried: set = set()
-            for j in range(i):
-                if two and rows[i][1] == rows[j][1]:
-                    continue
-                if (root := forest.find(rows[j][0])) in tried or root == forest.find(rows[i][0]):
-                    continue
-                a, b = len(sets[i]), len(sets[j])
-                if min(a, b) >= THRESHOLD * max(a, b) and jaccard(sets[i], sets[j]) >= THRESHOLD:
-                    forest.join(rows[i][0], rows[j][0])
-                    yield rows[i][0], rows[j][0]
-
-    def flush(rows):
-        found = list(links(rows))
+        forest, found, nodes = Forest(), [], [r[0] for r in rows]
+        for i, hits in similar([shingles(r[2].split(b" ")) for r in rows], np.array([r[1] for r in rows])):
+            found += [(nodes[i], nodes[j]) for j in hits.tolist() if forest.join(nodes[i], nodes[j])]
         if found:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -117,15 +114,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     paragraph counts lines from 0. kept is true for one paragraph of a component, the first by (doc_id, paragraph); a null id is
     after all others. Documents without such paragraphs, null and short texts give no rows; repeated rows repeat their paragraphs.
     """
-    paras = cut(texts_of(df, id_col, text_col).mapInArrow(_paragraphs, "doc_id long, paragraph int, n_words int, node long, body binary, bands array<long>"), "paragraphs")
-    nodes = cut(paras.where("body is not null").groupBy("node").agg(F.first("body").alias("body"), F.first("bands").alias("bands")), "nodes")
-    member = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
-    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    hit = member.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    tiles = hit.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", F.col("block").alias("side"))
-    dealt = tiles.join(nodes.select("node", "body"), "node").select("bucket", "lo", "hi", "node", "side", "body")
-    links = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node").mapInArrow(_verify, "a long, b long")
+    paras = cut(small_batches(texts_of(df, id_col, text_col)).mapInArrow(_paragraphs, "doc_id long, paragraph int, n_words int, node long, body binary, bands array<long>"), "paragraphs")
+    member = paras.where("bands is not null").select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
+    least = member.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("bucket", "a")
+    groups = cut(connected_components(member.join(least, "bucket").select("a", F.col("node").alias("b"))), "groups")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    body = paras.where("body is not null").select("node", "body").join(dealt, "node").groupBy("component", "node", "block", "blocks").agg(F.first("body").alias("body"))
+    tiles = body.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = tiles.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", F.col("block").alias("side"), "body")
+    links = tiles.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node").mapInArrow(_verify, "a long, b long")
     comp = connected_components(links)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph")
     counts = paras.groupBy("node").agg(F.count("*").alias("n"), F.min(order).alias("first"))
