@@ -1,8 +1,9 @@
 """Toxicity by compression distance: windows of a text are compressed with a zstandard dictionary trained on ordinary text and
-with one that also holds what a dictionary trained on toxic text adds; what the second saves, window by window, is the evidence.
+with ones that also hold what toxic texts add; what each of those saves, window by window, is the evidence.
 
-Training samples of the toxic dictionary are the stretches of words in toxic texts that ordinary texts lack (their byte grams are in
-many more toxic documents), else the dictionary fills with what all texts share. The fit, on the driver, sees a bounded sample of
+A toxic dictionary holds the stretches of words whose byte grams are likelier in toxic documents, the likeliest last, where they are
+nearest to the text. There is one for each tier of likelihood ratios: a marker that ordinary texts have too, as those of a language
+with few labelled rows do, goes into a weaker tier, and the calibration weighs the tiers. The fit, on the driver, sees a bounded sample of
 labelled rows: MAX_TOXIC and MAX_ORDINARY rows of up to FIT_BYTES each, half for the dictionaries and half for the calibration.
 Scoring covers every whole text. Matches are six bytes or longer, so that chance matches in either dictionary save nothing.
 """
@@ -23,18 +24,19 @@ from tesserae.llm.common import map_rows, small_batches, texts_of
 #: Bounds of the fitting sample.
 MAX_TOXIC, MAX_ORDINARY, FIT_BYTES = 2400, 6000, 200_000
 WINDOW = 256
-ORDINARY_BYTES, TOXIC_BYTES = 1024, 3072
-GRAM = 5
-#: A gram counts as toxic if it is in so many toxic documents at least, as a share, and so many times likelier there.
-LEAST_SHARE, LEAST_RATIO = 0.01, 12.0
-#: A word stretch becomes a training sample if it comes up so often, as a share of toxic documents.
+ORDINARY_BYTES, TOXIC_BYTES = 1024, 4096
+GRAM, MATCH = 5, 6
+#: A gram counts as toxic if it is in so many toxic documents at least, as a share; a tier has those that are more than so many times likelier there.
+LEAST_SHARE, TIERS = 0.01, (12.0, 5.0, 2.5)
+FEATURES = 4 * len(TIERS)
+#: A word stretch goes into a dictionary if so many toxic documents have it, as a share.
 SAMPLE_SHARE = 0.006
 
 
 @dataclass
 class Model:
     ordinary: bytes
-    toxic: bytes
+    toxic: tuple[bytes, ...]  # one a tier
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # the constant first
@@ -42,27 +44,32 @@ class Model:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=15, hash_log=12, chain_log=12, search_log=4, target_length=16, write_content_size=False, write_checksum=False, write_dict_id=False)
+    p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=MATCH, window_log=15, hash_log=12, chain_log=12, search_log=4, target_length=16, write_content_size=False, write_checksum=False, write_dict_id=False)
     d.precompute_compress(compression_params=p)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.plain, self.both = model, compressor(model.ordinary), compressor(model.toxic + model.ordinary)
+        self.model, self.plain, self.both = model, compressor(model.ordinary), [compressor(t + model.ordinary) for t in model.toxic]
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
-        """Bytes that the toxic side saves: mean over windows, most, mean of the three most, share of windows with three or more."""
+    def features(self, text: bytes) -> list[float]:
+        """For each tier, bytes that its dictionary saves: mean over windows, most, mean of the three most, share of windows with three or more."""
         raw = text.decode("utf-8", "replace").lower().encode()
-        plain, both = self.plain.compress, self.both.compress
-        saved = sorted((len(plain(w)) - len(both(w)) for w in (raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW))), reverse=True)
-        if not saved:
-            return 0.0, 0.0, 0.0, 0.0
-        top = saved[:3]
-        return sum(saved) / len(saved), float(saved[0]), sum(top) / len(top), sum(x >= 3 for x in saved) / len(saved)
+        windows = [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
+        if not windows:
+            return [0.0] * FEATURES
+        plain, out = [len(self.plain.compress(w)) for w in windows], []
+        for both in self.both:
+            saved = sorted((n - len(both.compress(w)) for n, w in zip(plain, windows, strict=True)), reverse=True)
+            top = saved[:3]
+            out += [sum(saved) / len(saved), float(saved[0]), sum(top) / len(top), sum(x >= 3 for x in saved) / len(saved)]
+        return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return probability(np.array([self.features(t) for t in texts]).reshape(-1, 4), self.model)
+        if not self.both:
+            return probability(np.zeros((len(texts), FEATURES)), self.model)
+        return probability(np.array([self.features(t) for t in texts]).reshape(-1, FEATURES), self.model)
 
 
 def probability(x: np.ndarray, m: Model) -> np.ndarray:
@@ -78,7 +85,7 @@ def _grams(text: bytes) -> set[bytes]:
     return out
 
 
-def _stretches(text: bytes, good: set[bytes]):
+def _stretches(text: bytes, good):
     for w in text.split():
         w = b" " + w + b" "
         start, end = 0, -1
@@ -102,13 +109,25 @@ def _train(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
+def _tier(texts: list[bytes], ratio: dict[bytes, float]) -> bytes:
+    """The stretches that these grams make, likeliest last, up to TOXIC_BYTES; ratio has the tier's grams."""
+    seen = Counter(x for t in texts for x in set(_stretches(t, ratio.keys())) if len(x) >= MATCH)
+    least = max(2, SAMPLE_SHARE * len(texts))
+    best = {x: max(ratio.get(x[i : i + GRAM], 0.0) for i in range(len(x) - GRAM + 1)) for x, n in seen.items() if n >= least}
+    out = b""
+    for x in sorted(best, key=lambda x: (-best[x], x)):
+        if x not in out and len(out) + len(x) <= TOXIC_BYTES:
+            out = x + out
+    return out
+
+
 def fit(toxic: list[bytes], ordinary: list[bytes], odds: float | None = None) -> Model:
     """odds: toxic to ordinary among all labelled rows, for the constant; None: as in the samples. Without texts of both kinds every score is the share of toxic ones."""
     low = lambda ts: [t.decode("utf-8", "replace").lower().encode() for t in ts]
     toxic, ordinary = low(toxic), low(ordinary)
     if not toxic or not ordinary:
         flat = 20.0 if toxic else -20.0
-        return Model(b"", b"", np.zeros(4), np.ones(4), np.array([flat, 0, 0, 0, 0.0]))
+        return Model(b"", (), np.zeros(FEATURES), np.ones(FEATURES), np.r_[flat, np.zeros(FEATURES)])
     half = lambda xs: (xs[: (len(xs) + 1) // 2], xs[(len(xs) + 1) // 2 :] or xs)
     (t1, t2), (o1, o2) = half(toxic), half(ordinary)
     in_t, in_o = Counter(), Counter()
@@ -116,11 +135,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes], odds: float | None = None) ->
         in_t.update(_grams(t))
     for t in o1:
         in_o.update(_grams(t))
-    good = {g for g, n in in_t.items() if n >= max(2, LEAST_SHARE * len(t1)) and n / len(t1) > LEAST_RATIO * (in_o[g] + 0.5) / len(o1)}
-    seen = Counter(x for t in t1 for x in _stretches(t, good))
-    least = max(2, SAMPLE_SHARE * len(t1))
-    samples = [x * 4 for x, n in seen.items() if n >= least for _ in range(min(10, 1 + int(n / least)))]
-    model = Model(_train([t[i : i + WINDOW] for t in o1 for i in range(0, len(t), WINDOW)], ORDINARY_BYTES, 64, 8), _train(samples, TOXIC_BYTES, 16, 6), np.zeros(4), np.ones(4), np.zeros(5))
+    ratio = {g: n / len(t1) / ((in_o[g] + 0.5) / len(o1)) for g, n in in_t.items() if n >= max(2, LEAST_SHARE * len(t1))}
+    tiers = tuple(_tier(t1, {g: r for g, r in ratio.items() if low < r <= high}) for low, high in zip(TIERS, (np.inf, *TIERS), strict=False))
+    model = Model(_train([t[i : i + WINDOW] for t in o1 for i in range(0, len(t), WINDOW)], ORDINARY_BYTES, 64, 8), tiers, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     s = Scorer(model)
     x = np.array([s.features(t) for t in t2 + o2])
     y = np.r_[np.ones(len(t2)), np.zeros(len(o2))]

@@ -41,6 +41,24 @@ def test_toxicity_separates_held_out_rows(spark):
     assert np.allclose(again.weights, model.weights)
 
 
+def test_toxicity_weighs_weaker_markers():
+    """A language whose toxic documents all have a marker that a tenth of its ordinary ones have too: likelier by less than the strong markers."""
+    r = random.Random(5)
+    word = lambda parts: "".join(r.choice(parts) for _ in range(r.randint(2, 4)))
+    wide, small = [[word(p) for _ in range(500)] for p in (["ba", "ko", "ti", "re", "nel"], ["ach", "ung", "ver", "sch", "ein"])]
+
+    def text(k, toxic):
+        out = [r.choice(small if k else wide) for _ in range(120)]
+        if toxic or k and r.random() < 0.1:
+            out[60:60] = ["zufrimbelt" if k else "vildrask"] * 4
+        return " ".join(out).encode()
+
+    model = toxicity.fit([text(k, True) for _ in range(60) for k in (0, 0, 1)], [text(k, False) for _ in range(300) for k in (0, 1, 1, 1)])
+    s = toxicity.Scorer(model)
+    toxic, clean = s.scores([text(1, True) for _ in range(60)]), s.scores([text(1, False) for _ in range(300)])
+    assert (toxic[:, None] > clean).mean() + (toxic[:, None] == clean).mean() / 2 > 0.85
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (5, 0), (6, 0), (None, 1), (7, None), (10, 1)], "doc_id long, toxic int")
     for model in (toxicity.fit_from(odd, labels), toxicity.fit_from(odd, labels.where("false")), toxicity.fit_from(empty, labels)):
