@@ -26,9 +26,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints stays, the one with the smallest id."""
-    found = simhash.near_duplicates(docs, SHINGLE, RADIUS).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each component of near-equal fingerprints stays, the first by (id, null last; place), whatever ids repeat or lack."""
+    return simhash.first_rows(docs.select(*COLUMNS), SHINGLE, RADIUS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,3 +156,20 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, id_col: str =
     low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(low, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(df: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with exactly one row of each component: the first by (id, a null one last; place among the rows).
+
+    Rows are numbered and written with their number before anything else reads them, so rows that share an id, or have none,
+    are told apart; the rows, not the ids, are what goes or stays. All columns stay.
+    """
+    rows = cut(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    docs = fingerprints(rows, size, "__row", text_col).withColumnRenamed("doc_id", "__row")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))
+    named = docs.join(rows.select("__row", F.col(id_col).alias("id")), "__row")
+    distinct = cut(named.groupBy("fp").agg(first.alias("first")), "distinct")
+    comp = connected_components(links(distinct, radius))
+    rooted = distinct.join(comp, distinct.fp == comp.node, "left").select("first", F.coalesce("component", "fp").alias("root"))
+    lead = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(lead, "__row", "left_semi").drop("__row")

@@ -154,3 +154,19 @@ def test_pipeline_stages(spark):
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == {k: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for k, r in after.items()}
     assert P.run(spark, sf).count() == len(rows)
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark, odd):
+    """Copies without an id, repeated rows that lead, and two texts under one id of which one is a copy."""
+    import corpus_pipeline as P
+
+    r = random.Random(12)
+    a, b, c, d = (" ".join(f"w{r.randrange(900)}" for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a), (1, b), (1, b), (2, c), (7, c), (7, d), (8, d), (None, b), (9, ""), (10, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = dict(P.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert out.columns == list(P.COLUMNS)
+    assert sorted(map(repr, ((x.doc_id, x.text) for x in out.collect()))) == sorted(map(repr, [(None, a), (1, b), (2, c), (7, d), (9, "")]))
+    from tesserae.llm import simhash
+
+    assert simhash.first_rows(odd).columns == odd.columns
