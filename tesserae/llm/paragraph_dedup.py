@@ -1,11 +1,12 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard on colliding paragraphs, clusters by connected components.
 
-A paragraph is a line of MIN_WORDS words or more; shorter ones are left to rules on lines. Its set is that of its 5-word shingles in
+A paragraph is a line of MIN_WORDS words or more, and also every run of two or more consecutive lines under WRAP words each, blank
+lines between runs, joined: so a passage is found whether it is wrapped or not. Its set is that of its 5-word shingles in
 lower case. With BANDS bands of ROWS rows two paragraphs of Jaccard 0.8 collide with probability 1 - (1 - 0.8**4)**14 = 0.9994.
-Equal paragraphs are one node from the start. Nodes that share a band are edges of a star to the least node of the band, and the
-components of those stars are the candidate groups: all colliding pairs lie within one, and each node is sent to its group once,
-with its text. A group is compared there through an index of its shingles; one of more than BLOCK nodes is cut into tiles of two
-blocks each, so no task gets an unbounded group, and no pair is emitted or lost.
+Equal paragraphs are one node from the start. Neighbours in the order of the nodes that share a band are edges, so each key moves once, and the
+components of those chains are the candidate groups: all colliding pairs lie within one, and each node is sent to its group once,
+with its text. A group is compared there through an index of its shingles; one of more than BLOCK nodes or BLOCK_WORDS words is cut
+into tiles of two blocks each, so no task gets an unbounded group, and no pair is emitted or lost.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Forest, connected_components, cut, small_batches, texts_of
 
-SIZE, MIN_WORDS, THRESHOLD = 5, 25, 0.8
-BANDS, ROWS, BLOCK = 14, 4, 2000
+SIZE, MIN_WORDS, WRAP, THRESHOLD = 5, 5, 25, 0.8
+BANDS, ROWS, BLOCK, BLOCK_WORDS = 14, 4, 2000, 1_000_000
+#: Entries of postings that are counted at once.
+POSTINGS = 1_000_000
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -36,16 +39,21 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter((name(b" ".join(words[i : i + SIZE])) for i in range(n)), np.uint64, n))
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of the MinHash of a set of hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(s), 4096):
-        x = s[i : i + 4096, None] * _A + _B
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """64-bit keys, a row of BANDS for the MinHash of each set of hashes."""
+    least = np.full((len(sets), BANDS * ROWS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    for i in range(0, len(flat), 4096):
+        x = flat[i : i + 4096, None] * _A + _B
         x ^= x >> np.uint64(29)
-        np.minimum(least, (x * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0), out=least)
-    key = np.full(BANDS, 0x9E3779B97F4A7C15, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        own = owner[i : i + 4096]
+        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        least[own[at]] = np.minimum(least[own[at]], np.minimum.reduceat(x, at, axis=0))
+    least = least.reshape(len(sets), BANDS, ROWS)
+    key = np.full((len(sets), BANDS), 0x9E3779B97F4A7C15, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
-        key = (key ^ least.reshape(BANDS, ROWS)[:, r]) * np.uint64(0xD6E8FEB86659FD93)
+        key = (key ^ least[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
     return key
 
@@ -60,29 +68,55 @@ def similar(sets: list[np.ndarray], side: np.ndarray):
     two = len(np.unique(side)) > 1
     for i, x in enumerate(sets):
         k = np.searchsorted(values, x)
-        both = np.bincount(np.concatenate([posting[a:b] for a, b in zip(start[k], end[k], strict=True)]), minlength=len(sets))[:i]
+        both = np.zeros(i, np.int64)
+        for part in np.split(k, np.flatnonzero(np.diff(np.cumsum(end[k] - start[k]) // POSTINGS)) + 1):
+            both += np.bincount(np.concatenate([posting[a:b] for a, b in zip(start[part], end[part], strict=True)]), minlength=len(sets))[:i]
         hit = both >= THRESHOLD * (size[:i] + size[i] - both)
         yield i, np.flatnonzero(hit & (side[:i] != side[i]) if two else hit)
 
 
+def units(text: bytes):
+    """(first line, lines, words) of each paragraph of a text."""
+    run: list[list[bytes]] = []
+    for k, line in enumerate([*text.split(b"\n"), b""]):
+        words = words_of(line)
+        if len(words) >= MIN_WORDS:
+            yield k, 1, words
+        if words and len(words) < WRAP:
+            run.append(words)
+            continue
+        if len(run) > 1 and sum(map(len, run)) >= MIN_WORDS:
+            yield k - len(run), len(run), [w for x in run for w in x]
+        run = []
+
+
 def _paragraphs(batches):
-    """doc_id, paragraph, n_words, node, and once a batch and node its words and bands."""
-    names = ["doc_id", "paragraph", "n_words", "node", "body", "bands"]
+    """doc_id, text (a hash of it), paragraph, n_lines, n_words, node, and once a batch and node its words and bands."""
+    names = ["doc_id", "text", "paragraph", "n_lines", "n_words", "node", "body", "bands"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+
+    def flush(rows):
+        new = [i for i, r in enumerate(rows) if r[6] is not None]
+        keys = [None] * len(rows)
+        if new:
+            for i, x in zip(new, bands([shingles(rows[i][6].split(b" ")) for i in new]).view(np.int64), strict=True):
+                keys[i] = x
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip((*zip(*rows, strict=True), keys), kinds, strict=True)], names=names)
+
     for batch in batches:
         rows, seen = [], set()
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for k, line in enumerate(text.split(b"\n")):
-                words = words_of(line)
-                if len(words) < MIN_WORDS:
-                    continue
+            tag = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+            for k, n, words in units(text):
                 body = b" ".join(words)
                 node = xxhash.xxh3_64_intdigest(body) - (1 << 63)
-                new = node not in seen
+                rows.append((doc, tag, k, n, len(words), node, None if node in seen else body))
                 seen.add(node)
-                rows.append((doc, k, len(words), node, body if new else None, bands(shingles(words)).view(np.int64) if new else None))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        for i in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i : i + 5000], strict=True), kinds, strict=True)], names=names)
+                if len(rows) == 5000:
+                    yield flush(rows)
+                    rows = []
+        if rows:
+            yield flush(rows)
 
 
 def _verify(batches):
@@ -109,25 +143,33 @@ def _verify(batches):
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph, n_words, component_id, kept: a row for each paragraph that has near-duplicates, in its document or others.
+    """doc_id, paragraph, n_lines, n_words, component_id, kept: a row for each paragraph that has near-duplicates, in its document or others.
 
-    paragraph counts lines from 0. kept is true for one paragraph of a component, the first by (doc_id, paragraph); a null id is
-    after all others. Documents without such paragraphs, null and short texts give no rows; repeated rows repeat their paragraphs.
+    paragraph counts lines from 0 and is the first of n_lines. A run and its own lines are no copies of each other. kept is true for
+    one paragraph of a component, the first by (doc_id, paragraph), the longer first; lines within it give no row of that component.
+    A null id is after all others. Documents without such paragraphs, null and short texts give no rows; repeated rows repeat their paragraphs.
     """
-    paras = cut(small_batches(texts_of(df, id_col, text_col)).mapInArrow(_paragraphs, "doc_id long, paragraph int, n_words int, node long, body binary, bands array<long>"), "paragraphs")
+    paras = cut(small_batches(texts_of(df, id_col, text_col)).mapInArrow(_paragraphs, "doc_id long, text long, paragraph int, n_lines int, n_words int, node long, body binary, bands array<long>"), "paragraphs")
     member = paras.where("bands is not null").select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
-    least = member.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("bucket", "a")
-    groups = cut(connected_components(member.join(least, "bucket").select("a", F.col("node").alias("b"))), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    before = F.lag("node").over(Window.partitionBy("bucket").orderBy("node"))
+    groups = cut(connected_components(member.select(before.alias("a"), F.col("node").alias("b")).where("a <> b")), "groups")
+    weight = paras.where("body is not null").select("node", "n_words").dropDuplicates(["node"]).join(groups, "node")
+    sizes = weight.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_words") / BLOCK_WORDS)).alias("blocks"))
     dealt = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     body = paras.where("body is not null").select("node", "body").join(dealt, "node").groupBy("component", "node", "block", "blocks").agg(F.first("body").alias("body"))
     tiles = body.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = tiles.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", F.col("block").alias("side"), "body")
     links = tiles.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node").mapInArrow(_verify, "a long, b long")
     comp = connected_components(links)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph")
-    counts = paras.groupBy("node").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", (-F.col("n_lines")).alias("longer"), "text")
+    end = F.col("paragraph") + F.col("n_lines")
+    counts = paras.groupBy("node").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min(place).alias("low"), F.max(place).alias("high"), F.max("paragraph").alias("start"), F.min(end).alias("end"))
     full = counts.join(comp, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
-    classes = full.groupBy("component_id").agg(F.sum("n").alias("members"), F.min("first").alias("lead")).where("members > 1")
+    # a run and a line within it, alone in a component, are one passage: elsewhere, apart or repeated there is another copy
+    apart = (F.max("n") > 1) | (F.min("low") != F.max("high")) | (F.max("start") >= F.min("end"))
+    classes = full.groupBy("component_id").agg(F.sum("n").alias("members"), F.min("first").alias("lead"), apart.alias("apart")).where("members > 1 and apart")
     named = full.select("node", "component_id").join(classes, "component_id")
-    return paras.select("doc_id", "paragraph", "n_words", "node").join(named, "node").select("doc_id", "paragraph", "n_words", "component_id", (F.col("lead") == order).alias("kept"))
+    within = (F.col("lead.text") == F.col("text")) & F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("paragraph") < F.col("lead.paragraph") - F.col("lead.longer")) & (end > F.col("lead.paragraph"))
+    rows = paras.select("doc_id", "text", "paragraph", "n_lines", "n_words", "node").join(named, "node").where(~within | (F.col("n_lines") == -F.col("lead.longer")))
+    return rows.select("doc_id", "paragraph", "n_lines", "n_words", "component_id", (F.col("lead") == order).alias("kept"))

@@ -213,6 +213,19 @@ def test_paragraphs(spark, odd, empty, monkeypatch):
     assert paragraph_dedup.near_duplicates(empty).count() == 0
 
 
+def test_short_lines_and_wrapped_passages(spark):
+    r = random.Random(21)
+    line = lambda n: " ".join(f"v{r.randrange(9000)}" for _ in range(n))
+    short, passage, other = line(9), line(60).split(), line(20)
+    wrap = lambda n: "\n".join(" ".join(passage[i : i + n]) for i in range(0, 60, n))
+    rows = [(1, line(40) + "\n" + short), (2, short + "\n\n" + wrap(12)), (3, line(30) + "\n" + wrap(15) + "\n\n" + line(8)), (4, " ".join(passage)), (5, other + "\nx y"), (None, line(7))]
+    got = paragraph_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {}
+    for x in got:
+        groups.setdefault(x.component_id, []).append((x.doc_id, x.paragraph, x.n_lines, x.kept))
+    assert sorted(map(sorted, groups.values())) == [[(1, 1, 1, True), (2, 0, 1, False)], [(2, 2, 5, True), (3, 1, 4, False), (4, 0, 1, False)]]
+
+
 def test_quality_counts_and_hosts(spark, odd, empty):
     t = "a b c a b c # x%\nline one here\nline one here\n\n \nend"
     assert quality.counts(t.encode()) == (15, 34, 2, 1, 12)
