@@ -2,7 +2,7 @@
 
 A paragraph is a line of MIN_WORDS words or more, and also every run of two or more consecutive lines under WRAP words each, blank
 lines between runs, joined: so a passage is found whether it is wrapped or not. Its set is that of its 5-word shingles in
-lower case. With BANDS bands of ROWS rows two paragraphs of Jaccard 0.8 collide with probability 1 - (1 - 0.8**4)**14 = 0.9994.
+lower case. With BANDS bands of ROWS rows two paragraphs of Jaccard 0.8 collide with probability 1 - (1 - 0.8**5)**20 = 0.9996.
 Equal paragraphs are one node from the start. Neighbours in the order of the nodes that share a band are edges, so each key moves once, and the
 components of those chains are the candidate groups: all colliding pairs lie within one, and each node is sent to its group once,
 with its text. A group is compared there through an index of its shingles; one of more than BLOCK nodes or BLOCK_WORDS words is cut
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import Forest, connected_components, cut, small_batches, texts_of
 
 SIZE, MIN_WORDS, WRAP, THRESHOLD = 5, 5, 25, 0.8
-BANDS, ROWS, BLOCK, BLOCK_WORDS = 14, 4, 2000, 1_000_000
+BANDS, ROWS, BLOCK, BLOCK_WORDS = 20, 5, 2000, 1_000_000
 #: Entries of postings that are counted at once.
 POSTINGS = 1_000_000
 _RNG = np.random.default_rng(7)
