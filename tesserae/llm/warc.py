@@ -1,13 +1,18 @@
 """WARC derivatives: for each response a metadata record and a plain-text conversion record that refer to it.
 
 derive works on a DataFrame of responses with built-in functions only. read_responses and write_records are the ends: WARC/1.1
-files (plain or gzip by record) to responses, and derivative records to files, one for each task.
+files (plain or gzip by record) to responses, whose bytes, dates and digests go along with the decoded text, and derivative records
+to .warc.gz files, one for each task (write_files), or to rows of the same bytes (write_records).
 """
 
 from __future__ import annotations
 
+import codecs
 import gzip
-import io
+import os
+import re
+import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,42 +65,95 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
     responses derive the same records again. No shuffle.
     """
     p, head = F.col("payload"), F.col("http_headers")
+    # what read_responses adds: digest and length are then of the source's bytes
+    source = [c for c in ("source_date", "source_payload_digest") if c in responses.columns]
+    raw = F.col("body") if "body" in responses.columns else p
     title = F.trim(F.regexp_replace(F.regexp_extract(p, r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
     media = F.trim(F.regexp_extract(head, r"(?i)\ncontent-type: *([^;\r\n]*)", 1))
-    lines = ("source", F.col("source_id")), ("source-digest", digest(p)), ("source-length", F.octet_length(p).cast("string")), ("source-status", F.regexp_extract(head, r"^([^\r\n]*)", 1)), ("source-type", media), ("title", title), ("links", F.regexp_count(p, F.lit(r"(?i)<a\s[^>]*href")).cast("string"))
+    lines = ("source", F.col("source_id")), ("source-digest", digest(raw)), ("source-length", F.octet_length(raw).cast("string")), ("source-status", F.regexp_extract(head, r"^([^\r\n]*)", 1)), ("source-type", media), ("title", title), ("links", F.regexp_count(p, F.lit(r"(?i)<a\s[^>]*href")).cast("string"))
     fields = F.concat(*[x for k, v in lines for x in (F.lit(f"{k}: "), v, F.lit("\r\n"))])
     kinds = F.explode(F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit(FIELDS_TYPE).alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit(TEXT_TYPE).alias("content_type"), plain_text(p).alias("block")),
     ))
-    rows = responses.select(F.col(key), "target_uri", "source_id", "http_headers", digest(p).alias("source_digest"), kinds.alias("r")).select(key, "target_uri", "source_id", "http_headers", "source_digest", "r.*")
+    rows = responses.select(F.col(key), "target_uri", "source_id", "http_headers", digest(raw).alias("source_digest"), *source, kinds.alias("r")).select(key, "target_uri", "source_id", "http_headers", "source_digest", *source, "r.*")
     return rows.select(
         key, "warc_type", record_id(F.col("warc_type"), F.col("source_id"), F.col("target_uri")).alias("record_id"), F.col("source_id").alias("refers_to"), "target_uri", "content_type",
-        F.octet_length("block").cast("long").alias("content_length"), digest(F.col("block")).alias("block_digest"), "source_digest", "http_headers", "block",
+        F.octet_length("block").cast("long").alias("content_length"), digest(F.col("block")).alias("block_digest"), "source_digest", "http_headers", "block", *source,
     )
 
 
+def members(raw: bytes) -> bytes:
+    """The content of a gzip file member by member; a damaged member gives what can be read of it, and the next one follows."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out, at = [], 0
+    while at >= 0:
+        z = zlib.decompressobj(31)
+        try:
+            for i in range(at, len(raw), 65_536):
+                out.append(z.decompress(raw[i : i + 65_536]))
+                if z.eof:
+                    break
+            at = min(i + 65_536, len(raw)) - len(z.unused_data) if z.eof else -1
+            at = raw.find(b"\x1f\x8b\x08", at) if at >= 0 else -1
+        except zlib.error:
+            out.append(b"\r\n")
+            at = raw.find(b"\x1f\x8b\x08", at + 3)
+    return b"".join(out)
+
+
 def parse(raw: bytes):
-    """(headers with lower-case names, block) of each record of a WARC file; a broken tail ends the file."""
-    stream = io.BytesIO(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
+    """(headers with lower-case names, block) of each record of a WARC file. After a bad line, a bad length or a record that is cut short it goes on at the next line that begins with WARC/. Values of a repeated name are joined by line ends."""
+    raw, at = members(raw), 0
+    starts = re.compile(rb"^WARC/", re.M)
+    while m := starts.search(raw, at):
+        at = m.end()
+        end = re.compile(rb"\r?\n\r?\n").search(raw, at)
+        if not end:
             return
-        headers = {}
-        while (line := stream.readline()).strip():
+        headers: dict[str, str] = {}
+        for line in raw[at : end.start()].splitlines()[1:]:
             k, _, v = line.decode("utf-8", "replace").partition(":")
-            headers[k.strip().lower()] = v.strip()
-        size = int(headers.get("content-length", "0"))
-        block = stream.read(size)
-        if len(block) < size:
-            return
-        yield headers, block
+            k, v = k.strip().lower(), v.strip()
+            headers[k] = f"{headers[k]}\r\n{v}" if k in headers else v
+        size = headers.get("content-length", "0")
+        if not size.isascii() or not size.isdigit() or end.end() + int(size) > len(raw):
+            continue
+        at = end.end() + int(size)
+        yield headers, raw[end.end() : at]
+
+
+def decoded(head: str, body: bytes) -> str:
+    """The text of a body by its transfer and content encodings and its charset (header, else a meta element, else UTF-8). An encoding that isn't known or doesn't decode gives no text."""
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.splitlines()[1:])}
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        out, at = [], 0
+        while m := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n").match(body, at):
+            at = m.end() + int(m[1], 16) + 2
+            out.append(body[m.end() : at - 2])
+        body = b"".join(out) or body
+    for name in reversed([x.strip().lower() for x in fields.get("content-encoding", "").split(",") if x.strip()]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                body = zlib.decompressobj(31).decompress(body)
+            elif name == "deflate":
+                body = zlib.decompressobj(15 if body[:1] == b"\x78" else -15).decompress(body)
+            elif name != "identity":
+                return ""
+        except zlib.error:
+            return ""
+    found = re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", fields.get("content-type", "")) or re.search(r"(?i)<meta[^>]*?charset\s*=\s*[\"']?([\w.:-]+)", body[:4096].decode("latin-1"))
+    try:
+        charset = codecs.lookup(found[1]).name if found else "utf-8"
+        return body.decode("cp1252" if charset == "iso8859-1" else charset, "replace")
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of the WARC files at path, as responses_of gives them; page_id is the record's place in its file."""
+    """Response records of the WARC files at path, as responses_of gives them, with the body's bytes and the source's date and payload digest; page_id is the record's place in its file."""
+    names = ("page_id", "target_uri", "source_id", "http_headers", "payload", "body", "source_date", "source_payload_digest")
 
     def run(batches):
         for batch in batches:
@@ -103,16 +161,22 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 for k, (h, block) in enumerate(parse(content)):
                     if h.get("warc-type") == "response":
                         head, _, body = block.partition(b"\r\n\r\n")
-                        row = (k, h.get("warc-target-uri", ""), h.get("warc-record-id", ""), head.decode("latin-1") + "\r\n", body.decode("utf-8", "replace"))
-                        yield pa.RecordBatch.from_pylist([dict(zip(("page_id", "target_uri", "source_id", "http_headers", "payload"), row, strict=True))])
+                        head = head.decode("latin-1") + "\r\n"
+                        row = (k, h.get("warc-target-uri", ""), h.get("warc-record-id", ""), head, decoded(head, body), body, h.get("warc-date", ""), h.get("warc-payload-digest", ""))
+                        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=list(names))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, target_uri string, source_id string, http_headers string, payload string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, target_uri string, source_id string, http_headers string, payload string, body binary, source_date string, source_payload_digest string")
 
 
 def record_bytes(r: dict, date: str) -> bytes:
+    """A derivative record; the source's date, declared digest and HTTP header lines are fields of it, date is for sources without one."""
     block = r["block"].encode()
-    head = {"WARC-Type": r["warc_type"], "WARC-Record-ID": r["record_id"], "WARC-Refers-To": r["refers_to"], "WARC-Target-URI": r["target_uri"], "WARC-Date": date, "WARC-Block-Digest": r["block_digest"], "WARC-Source-Payload-Digest": r["source_digest"], "Content-Type": r["content_type"], "Content-Length": str(len(block))}
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+    head = [("WARC-Type", r["warc_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r.get("source_date") or date), ("WARC-Block-Digest", r["block_digest"]), ("WARC-Source-Payload-Digest", r["source_digest"])]
+    if r.get("source_payload_digest"):
+        head.append(("WARC-Source-Declared-Payload-Digest", r["source_payload_digest"]))
+    head += [("WARC-Source-HTTP-Header", x) for x in (r.get("http_headers") or "").splitlines() if x.strip()]
+    head += [("Content-Type", r["content_type"]), ("Content-Length", str(len(block)))]
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
 def write_records(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -125,6 +189,29 @@ def write_records(records: DataFrame, path: str, date: str = "1970-01-01T00:00:0
     records.mapInArrow(run, "warc binary").write.parquet(path)
 
 
+def write_files(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> list[str]:
+    """part-N.warc.gz in path, a folder that all executors share, one a task with a gzip member a record; the names. A file gets its name when it is whole, so a task that is run again replaces it."""
+    os.makedirs(path, exist_ok=True)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        name = f"part-{TaskContext.get().partitionId():05d}.warc.gz"
+        part, n = f"{path}/.{name}.{uuid.uuid4().hex}", 0
+        with open(part, "wb") as f:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    f.write(gzip.compress(record_bytes(r, date), mtime=0))
+                    n += 1
+        if not n:
+            os.remove(part)
+            return
+        os.replace(part, f"{path}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    return sorted(r.name for r in records.mapInArrow(run, "name string").collect())
+
+
 def oracle(pages: str = "pages") -> str:
     """derive(responses_of(pages)) as DuckDB SQL."""
     sql = lambda s: "'" + s.replace("'", "''") + "'"

@@ -1,6 +1,7 @@
 """Toxicity on held-out rows, WARC records, and the pipeline against its stages in plain Python."""
 
 import gzip
+import hashlib
 import random
 import re
 import zlib
@@ -91,6 +92,30 @@ def test_warc_derivatives(spark, tmp_path):
     assert sorted(h["warc-type"] for x in raw for h, _ in warc.parse(x)) == ["conversion", "conversion", "metadata", "metadata"]
 
 
+def test_warc_keeps_source_headers_and_bytes(spark, tmp_path):
+    def record(i, body, *fields):
+        block = "\r\n".join(("HTTP/1.1 200 OK", *fields)).encode() + b"\r\n\r\n" + body
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Date: 2020-02-0{i}T00:00:00Z\r\nWARC-Payload-Digest: sha1:D{i}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    latin, packed = "<p>café</p>".encode("latin-1"), gzip.compress("<p>größe</p>".encode())
+    one, two, three = record(1, latin, "Content-Type: text/html; charset=ISO-8859-1", "X-Own: 1"), record(2, packed, "Content-Encoding: gzip"), record(3, b"4\r\n<p>a\r\n5\r\nb</p>\r\n0\r\n\r\n", "Transfer-Encoding: chunked")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(one + b"a bad line\r\n" + two + b"WARC/1.1\r\nContent-Length: no\r\n\r\n" + three)
+    read = warc.read_responses(spark, str(tmp_path / "in"))
+    rows = {r.source_id: r for r in read.collect()}
+    assert [(rows[f"<urn:uuid:{i}>"].payload, rows[f"<urn:uuid:{i}>"].source_payload_digest) for i in (1, 2, 3)] == [("<p>café</p>", "sha1:D1"), ("<p>größe</p>", "sha1:D2"), ("<p>ab</p>", "sha1:D3")]
+    assert bytes(rows["<urn:uuid:2>"].body) == packed
+    names = warc.write_files(warc.derive(read), str(tmp_path / "out"))
+    found = [x for n in names for x in warc.parse((tmp_path / "out" / n).read_bytes())]
+    assert len(found) == 6 and all(n.endswith(".warc.gz") for n in names)
+    h, block = next((h, b) for h, b in found if h["warc-type"] == "conversion" and h["warc-refers-to"] == "<urn:uuid:1>")
+    assert block.decode() == "café" and h["warc-date"] == "2020-02-01T00:00:00Z" and h["warc-source-declared-payload-digest"] == "sha1:D1"
+    assert h["warc-source-payload-digest"] == "sha256:" + hashlib.sha256(latin).hexdigest() and "X-Own: 1" in h["warc-source-http-header"]
+    damaged = bytearray(gzip.compress(one) + gzip.compress(two))
+    damaged[40:60] = b"\xff" * 20
+    assert [h["warc-record-id"] for h, _ in warc.parse(bytes(damaged))][-1] == "<urn:uuid:2>"
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
