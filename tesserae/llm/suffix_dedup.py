@@ -1,4 +1,4 @@
-"""Exact removal of repeated substrings by sorting suffixes of content-cut shards with induced, disk-backed queues.
+"""Exact removal of repeated substrings by sorting suffixes of content-cut shards with induced queues; a shard must fit in a task's memory.
 
 Every byte goes that lies in a string of LENGTH bytes which also starts earlier. A window of LENGTH bytes belongs to its anchor, the
 least-hashed GRAM bytes in it, so equal windows have equal anchors at equal places wherever they stand, and a shard (a range of
