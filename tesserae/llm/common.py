@@ -104,26 +104,50 @@ def _spanning(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
+#: A key is hot if it has LEAST_HOT rows and over this share of all; so there are less than HOT_KEYS hot ones, whatever the data, and they can be broadcast.
+HOT_KEYS, LEAST_HOT = 500, 1000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined (inner) with the one row that unique has for a key; n is how many rows have it. unique is read several times, so it should be a table.
+
+    Rows of hot keys meet the few rows of those keys by broadcast, where they are; all others by an equi-join.
+    """
+    total, most = unique.agg(F.sum(n), F.max(n)).first()
+    least = max(LEAST_HOT, (total or 0) // HOT_KEYS)
+    if (most or 0) <= least:
+        return rows.join(unique, key)
+    hot = unique.where(F.col(n) > least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(unique, key)
+    return rows.join(F.broadcast(hot), key).select(*rest.columns).union(rest)
+
+
+def _with_least(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    return edges.join(least, "a") if few else join_unique(edges, cut(least, "least"), "a")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges (a long, b long), for every node that an edge names.
 
-    Large-star and small-star rounds (Kiveris et al. 2014) on aggregates and equi-joins, so that a hub is summed by partial
-    aggregation and never gathered; each round is cut into the shared folder. Stops when a round changes nothing.
+    Large-star and small-star rounds (Kiveris et al. 2014) on aggregates and equi-joins. Minima are summed partially; the edges of a
+    hub meet its minimum by broadcast, so it is never gathered. Each round is cut into the shared folder. Stops when a round changes nothing.
     """
     e = cut(_spanning(edges.where("a <> b")), "edges").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    last = None
+    size, last = e.count(), None
     for _ in range(MAX_ROUNDS):
+        few = size <= LEAST_HOT // 2
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, low, few).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.union(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = large if few else cut(large, "edges")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, few).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         e = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break
-        last = state
+        last, size = state, state[0]
     else:
         raise RuntimeError("components did not settle")
     return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

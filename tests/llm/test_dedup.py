@@ -194,7 +194,7 @@ def test_paragraphs(spark, odd, empty, monkeypatch):
         docs.append((i, "short line\n" + " ".join(w) + "\n" + " ".join(line(40))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     monkeypatch.setattr(paragraph_dedup, "BLOCK", 3)
-    got = {(x.doc_id, x.paragraph): x.component_id for x in paragraph_dedup.near_duplicates(df).collect()}
+    got = {(x.doc_id, x.paragraph): x.component_id for x in paragraph_dedup.near_duplicates(df).where("line").collect()}
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in lines]
     groups = Groups(range(len(lines)))
     for a in range(len(lines)):
@@ -209,21 +209,41 @@ def test_paragraphs(spark, odd, empty, monkeypatch):
         have.setdefault(c, set()).add(k)
     assert sorted(map(sorted, have.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
     rows = paragraph_dedup.near_duplicates(odd).collect()
-    assert {x.doc_id for x in rows} >= {6, 8, 11} and sum(x.kept for x in rows) == len({x.component_id for x in rows})
+    assert {x.doc_id for x in rows} >= {6, 7, 8, 11, None} and sum(x.kept for x in rows) == len({(x.line, x.component_id) for x in rows})
     assert paragraph_dedup.near_duplicates(empty).count() == 0
 
 
-def test_short_lines_and_wrapped_passages(spark):
+def test_passages_in_lines_and_over_lines(spark):
+    """Every passage of 50 words that two documents share gives rows for both, wherever it stands and however it is wrapped; windows against brute force."""
     r = random.Random(21)
-    line = lambda n: " ".join(f"v{r.randrange(9000)}" for _ in range(n))
-    short, passage, other = line(9), line(60).split(), line(20)
-    wrap = lambda n: "\n".join(" ".join(passage[i : i + n]) for i in range(0, 60, n))
-    rows = [(1, line(40) + "\n" + short), (2, short + "\n\n" + wrap(12)), (3, line(30) + "\n" + wrap(15) + "\n\n" + line(8)), (4, " ".join(passage)), (5, other + "\nx y"), (None, line(7))]
-    got = paragraph_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    groups = {}
-    for x in got:
-        groups.setdefault(x.component_id, []).append((x.doc_id, x.paragraph, x.n_lines, x.kept))
-    assert sorted(map(sorted, groups.values())) == [[(1, 1, 1, True), (2, 0, 1, False)], [(2, 2, 5, True), (3, 1, 4, False), (4, 0, 1, False)]]
+    line = lambda n: [f"v{r.randrange(9000)}" for _ in range(n)]
+    docs = []
+    for g in range(30):
+        passage = line(50 + g)
+        wrapped = "\n".join(" ".join(passage[i : i + 9]) for i in range(0, len(passage), 9))
+        docs += [(3 * g, " ".join(line(g) + passage + line(40))), (3 * g + 1, " ".join(line(7)) + "\n" + wrapped.upper() + "\n" + " ".join(line(9))), (3 * g + 2, " ".join(line(60)) + "\n\n" + " ".join(line(19)))]
+    docs += [(None, docs[0][1]), (500, " ".join(docs[2][1].split()[:45]))]
+    got = paragraph_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {x.doc_id for x in got} == {i for i, _ in docs if i is None or i % 3 < 2 or i in (2, 500)}
+    seen = {}
+    for i, t in docs:
+        words, h, _, windows = paragraph_dedup.units(t.encode())
+        want = {min(range(k, k + 31), key=lambda j: (int(h[j]) >> 24, j)) for k in range(len(h) - 30)}
+        assert {a for _, a in windows} == {a for a in want if a + 20 <= len(words)}
+        for _, a in windows:
+            seen.setdefault(b" ".join(words[a : a + 20]), []).append((i is None, i or 0, a))
+    want = {x: k == 0 for xs in seen.values() if len(xs) > 1 for k, x in enumerate(sorted(xs))}
+    assert {(x.doc_id is None, x.doc_id or 0, x.first_word): x.kept for x in got if not x.line} == want
+
+
+def test_paragraph_columns_ties_and_lengths(spark):
+    """Equal rows tie: one of each component is kept by (doc_id, first word); lines under min_words stay unless asked for; a whole line of copies in one document counts."""
+    one, short = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(9))
+    rows = spark.createDataFrame([(4, one + "\n" + short + "\n" + one), (9, short), (9, None), (None, "")], "doc_id long, text string")
+    got = paragraph_dedup.near_duplicates(rows).where("line").collect()
+    assert sorted((x.doc_id, x.paragraph, x.first_word, x.n_words, x.kept) for x in got) == [(4, 0, 0, 30, True), (4, 2, 39, 30, False)]
+    got = paragraph_dedup.near_duplicates(rows, min_words=5).where("line").collect()
+    assert sorted((x.doc_id, x.paragraph, x.kept) for x in got) == [(4, 0, True), (4, 1, True), (4, 2, False), (9, 0, False)]
 
 
 def test_quality_counts_and_hosts(spark, odd, empty):
