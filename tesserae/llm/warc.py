@@ -21,22 +21,30 @@ from pyspark.sql import functions as F
 #: Elements whose content is no text, elements that end a line, and the character references that are replaced.
 SILENT = ("script", "style", "noscript", "template")
 BREAKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+REFERENCES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 TEXT_TYPE, FIELDS_TYPE = "text/plain; charset=utf-8", "application/warc-fields"
 
 
-def text_steps() -> list[tuple[str, str]]:
-    """Pattern and replacement, one after the other, from HTML to text; the syntax is common to Java and RE2. White space of the source is one space, in pre too."""
-    out = [(r"(?s)<!--.*?-->", ""), *((rf"(?is)<{e}\b.*?</{e}\s*>", "") for e in SILENT)]
-    out += [(r"[ \t\r\n\f\x0B]+", " "), (rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n"), (r"<[^>]*>", "")]
-    out += [(a, b) for a, b in REFERENCES]
-    return out + [(r"[ \t\r\f\x0B]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+def text_steps() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Pattern and replacement, one after the other, from HTML to text: those before the references are replaced and those after.
+
+    The syntax is common to Java and RE2. White space of the source is one space, in pre too; only white space that isn't one space
+    already is matched, and each step is one pass. Spaces and line ends at both ends of the text then go.
+    """
+    silent = "|".join([r"<!--.*?-->", *(rf"<{e}\b.*?</{e}\s*>" for e in SILENT)])
+    before = [(rf"(?is){silent}", ""), (r"[ \t\r\n\f\x0B]{2,}|[\t\r\n\f\x0B]", " "), (rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n"), (r"<[^>]*>", "")]
+    return before, [(r" *\n[ \n]*", "\n"), (r" {2,}", " ")]
 
 
 def plain_text(html: Column) -> Column:
-    for a, b in text_steps():
+    before, after = text_steps()
+    for a, b in before:
+        html = F.regexp_replace(html, a, b)
+    for a, b in REFERENCES:
+        html = F.replace(html, F.lit(a), F.lit(b))
+    for a, b in after:
         html = F.regexp_replace(html, a, b)
-    return html
+    return F.btrim(html, F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
@@ -215,9 +223,15 @@ def write_files(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
 def oracle(pages: str = "pages") -> str:
     """derive(responses_of(pages)) as DuckDB SQL."""
     sql = lambda s: "'" + s.replace("'", "''") + "'"
-    text = "payload"
-    for a, b in text_steps():
-        text = f"regexp_replace({text}, {sql(a)}, {sql(b).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}, 'g')"
+    text, (before, after) = "payload", text_steps()
+    swap = lambda a, b: f"regexp_replace({text}, {sql(a)}, {sql(b).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}, 'g')"
+    for a, b in before:
+        text = swap(a, b)
+    for a, b in REFERENCES:
+        text = f"replace({text}, {sql(a)}, {sql(b)})"
+    for a, b in after:
+        text = swap(a, b)
+    text = f"trim({text}, ' ' || chr(10))"
     rid = lambda *p: (lambda h: f"'<urn:uuid:' || substr({h},1,8) || '-' || substr({h},9,4) || '-5' || substr({h},14,3) || '-8' || substr({h},18,3) || '-' || substr({h},21,12) || '>'")(f"sha256(concat_ws(chr(10), {', '.join(p)}))")
     nl = "chr(13) || chr(10)"
     title = r"trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g'))"
