@@ -1,4 +1,4 @@
-"""Exact removal of repeated substrings by sorting suffixes of content-cut shards with induced queues; a shard must fit in a task's memory.
+"""Exact removal of repeated substrings by external induced sorting of the suffixes of content-cut shards.
 
 Every byte goes that lies in a string of LENGTH bytes which also starts earlier. A window of LENGTH bytes belongs to its anchor, the
 least-hashed GRAM bytes in it, so equal windows have equal anchors at equal places wherever they stand, and a shard (a range of
@@ -6,16 +6,19 @@ anchor hashes) has all of them. Anchors are the first level of names: an anchor
 belong to it, is named by a 64-bit hash, and of equal names only the earliest goes on. Tasks do this before they send anything, so
 a passage in a third of all documents reaches its shard once a task. What is left are contexts that share an anchor and differ.
 
-There the suffixes that begin at anchors are sorted once with the common prefixes of neighbours (external runs, merged from disk
-beyond RUN rows). Suffixes one byte to the left are then induced, level by level: those of one level are taken off in order, put
-in the queue of the byte before them, and the common prefix of neighbours is one more than the least since the last in that queue.
-Neighbours with LENGTH bytes in common are equal windows. Sorting stops where no window can be equal any more.
+There a disk-backed priority queue takes the suffixes that begin at anchors and gives them back in order, with the common prefix of
+neighbours. The order induces that of the suffixes one byte to the left, level by level: each suffix, a tuple that carries the bytes
+to its left, is pushed under (anchor, byte before it, place in the order) with its common prefix with the last one under that byte,
+which is one more than the least since then; the next level pops them in order. Neighbours with LENGTH bytes in common are equal
+windows. Sorting stops where no window can be equal any more.
+
+Nothing in a shard is held whole: blobs are read as they come, queues keep RUN records in memory and sorted runs of them on the
+task's own disk, and all passes go block by block. An anchor with a large share of all contexts is cut by the bytes around it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import tempfile
 
 import numpy as np
@@ -26,20 +29,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import cut, small_batches
+from tesserae.llm.common import HOT_KEYS, LEAST_HOT, cut, small_batches
 
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
 #: Positions of a text that are hashed at once; the low bits of a key hold the position.
 CHUNK_BITS = 20
-#: Anchors that a task gathers before it names and sends them; rows of a run that is sorted in memory.
-GATHER, RUN = 1_500_000, 2_000_000
+#: Anchors that a task gathers before it names and sends them; records that a queue sorts in memory; records of a block.
+GATHER, RUN, BLOCK = 1_500_000, 250_000, 50_000
+#: Parts by place in the window that the contexts of a hot anchor are cut into.
+SLICES = 8
 #: Shards to a shuffle partition.
 SHARDS = 3
 #: The order of a document without an id: after all others.
 LAST = (1 << 63) - 1
 ANCHOR = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("dlo", "u1"), ("dhi", "u1")])
 MARK = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
+#: What queues hold: a key whose bytes are in order, and the record. RIGHT is the key's part after the anchor's hash: LENGTH bytes and their number.
+RIGHT = LENGTH + 1
+NAMED = np.dtype([("key", "S32"), ("row", ANCHOR)])
+MARKED = np.dtype([("key", "S16"), ("row", MARK)])
+PLACE = [("group", "<u8"), ("lcp", "u1"), ("dlo", "u1"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("left", "u1", (SPAN - 1,))]
+FIRST = np.dtype([("key", f"S{8 + RIGHT}"), *PLACE])
+SUFFIX = np.dtype([("key", "S17"), *PLACE])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,6 +127,103 @@ def marks_of(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return out
 
 
+class DiskQueue:
+    """A priority queue for bulk use: records of a type with a field key are pushed, then popped in order of the key, in blocks.
+
+    At most run records are in memory: beyond that sorted runs go to the task's own disk and are merged block by block.
+    """
+
+    def __init__(self, kind: np.dtype, run: int | None = None):
+        self.kind, self.run = kind, run or RUN
+        self.parts: list[np.ndarray] = []
+        self.size = self.pushed = 0
+        self.files: list = []
+
+    def push(self, rows: np.ndarray) -> None:
+        self.pushed += len(rows)
+        for i in range(0, len(rows), self.run):
+            self.parts.append(rows[i : i + self.run])
+            self.size += len(self.parts[-1])
+            if self.size >= self.run:
+                self._spill()
+
+    def _sorted(self) -> np.ndarray:
+        rows = np.concatenate(self.parts) if self.parts else np.empty(0, self.kind)
+        self.parts, self.size = [], 0
+        return rows[np.argsort(np.ascontiguousarray(rows["key"]), kind="stable")]
+
+    def _spill(self) -> None:
+        f = tempfile.TemporaryFile()
+        self._sorted().tofile(f)
+        f.seek(0)
+        self.files.append(f)
+
+    def blocks(self):
+        if not self.files:
+            rows = self._sorted()
+            for i in range(0, len(rows), BLOCK):
+                yield rows[i : i + BLOCK]
+            return
+        if self.size:
+            self._spill()
+        most = max(64, min(BLOCK, self.run) // len(self.files))
+        read = lambda f: np.frombuffer(f.read(most * self.kind.itemsize), self.kind)
+        heads = {f: read(f) for f in self.files}
+        while heads:
+            bound = min(h["key"][-1] for h in heads.values())
+            taken = []
+            for f, h in list(heads.items()):
+                n = int(np.searchsorted(np.ascontiguousarray(h["key"]), bound, "right"))
+                if n:
+                    taken.append(h[:n])
+                    heads[f] = h[n:] if n < len(h) else read(f)
+                    if not len(heads[f]):
+                        del heads[f]
+                        f.close()
+            rows = np.concatenate(taken)
+            yield rows[np.argsort(np.ascontiguousarray(rows["key"]), kind="stable")]
+
+
+def _key(*columns: np.ndarray) -> np.ndarray:
+    """Numbers and bytes side by side, as strings in the same order; signed numbers are shifted."""
+    parts = []
+    for c in columns:
+        if c.ndim == 1:
+            c = c ^ np.int64(-(1 << 63)) if c.dtype.kind == "i" else c
+            c = np.ascontiguousarray(c.astype(c.dtype.newbyteorder(">"))).view(np.uint8).reshape(len(c), -1)
+        parts.append(c)
+    out = np.ascontiguousarray(np.concatenate(parts, axis=1))
+    return out.view(f"S{out.shape[1]}").ravel()
+
+
+def _keyed(kind: np.dtype, key: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), kind)
+    out["key"], out["row"] = key, rows
+    return out
+
+
+class Marks:
+    """Marks of a shard in a queue; those of a document that touch or overlap come out as one."""
+
+    def __init__(self):
+        self.queue = DiskQueue(MARKED)
+
+    def add(self, marks: np.ndarray) -> None:
+        if len(marks):
+            self.queue.push(_keyed(MARKED, _key(marks["doc"], marks["tag"], marks["start"]), marks))
+
+    def blocks(self):
+        open_ = np.empty(0, MARK)
+        for block in self.queue.blocks():
+            rows = np.concatenate((open_, block["row"]))
+            rows = marks_of(rows, rows["start"], rows["end"])
+            open_ = rows[-1:]
+            if len(rows) > 1:
+                yield rows[:-1]
+        if len(open_):
+            yield open_
+
+
 def _dealt(rows: np.ndarray, shards: int):
     """(shard, blob) of rows that have h."""
     shard = rows["h"] % np.uint64(shards)
@@ -166,158 +275,232 @@ def _send_anchors(shards: int):
 FOUND = "doc long, tag long, start long, end long, dlo int, dhi int, h long"
 
 
-def _found(marks: np.ndarray, rest: np.ndarray | None = None) -> pa.Table:
+def _found(marks: np.ndarray, rest: np.ndarray | None = None) -> pa.RecordBatch:
     rest = np.empty(0, ANCHOR) if rest is None else rest
     nulls = np.r_[np.ones(len(marks), bool), np.zeros(len(rest), bool)]
     col = lambda m, r, kind: pa.array(np.concatenate((m, r)).astype(kind))
     none = np.zeros(len(marks), np.int64)
-    return pa.table({
+    return pa.record_batch({
         "doc": col(marks["doc"], rest["doc"], np.int64), "tag": col(marks["tag"], rest["tag"], np.int64), "start": col(marks["start"], rest["pos"], np.int64), "end": col(marks["end"], rest["pos"], np.int64),
         "dlo": col(none, rest["dlo"], np.int32), "dhi": col(none, rest["dhi"], np.int32), "h": pa.array(np.concatenate((none, rest["h"].view(np.int64))), mask=nulls),
     })
 
 
-def _name_shard(key, table):
-    """Anchors of a shard: marks for contexts that came before, and the anchors whose hash has several contexts."""
-    parts, marks = [np.empty(0, ANCHOR)], [np.empty(0, MARK)]
-    for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
-        (marks if kind else parts).append(unpack(blob, MARK if kind else ANCHOR))
-    rows, more = first_of(np.concatenate(parts))
-    same = rows["h"][1:] == rows["h"][:-1]
-    rest = rows[np.r_[False, same][: len(rows)] | np.r_[same, False][: len(rows)]]
-    return _found(np.concatenate([*marks, more]), rest)
-
-
-def _send_contexts(shards: int):
+def named(queue: DiskQueue, marks: Marks):
+    """Anchors in order of hash, context and place: marks for contexts that came before; yields the first of each context where a hash has several."""
+    lead, pending, more = np.empty(0, ANCHOR), np.empty(0, ANCHOR), False
+    for block in queue.blocks():
+        rows = np.concatenate((lead, block["row"]))
+        new = np.r_[True, (rows["ctx"][1:] != rows["ctx"][:-1]) | (rows["h"][1:] != rows["h"][:-1])]
+        first = rows[new][np.cumsum(new) - 1]
+        other = ~new & ((rows["doc"] != first["doc"]) | (rows["tag"] != first["tag"]) | (rows["pos"] != first["pos"]))
+        r = rows[other]
+        marks.add(marks_of(r, r["pos"] - r["dlo"].astype(np.uint32), r["pos"] - r["dhi"].astype(np.uint32) + np.uint32(LENGTH)))
+        # the lead that the last block ended with is the first row here, and pending already
+        leads = np.concatenate((pending, rows[new][len(lead) :]))
+        same = np.r_[more, leads["h"][1:] == leads["h"][:-1]]
+        several = same[:-1] | same[1:]
+        if several.any():
+            yield leads[:-1][several]
+        lead, pending, more = rows[new][-1:], leads[-1:], bool(same[-1])
+    if more:
+        yield pending
+
+
+def _name_shards(batches):
+    """Blobs of anchors to marks and open anchors."""
+    queue, marks = DiskQueue(NAMED), Marks()
+    for batch in batches:
+        for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if kind:
+                marks.add(unpack(blob, MARK))
+            else:
+                rows = unpack(blob, ANCHOR)
+                queue.push(_keyed(NAMED, _key(rows["h"], rows["ctx"], rows["doc"], rows["tag"], rows["pos"]), rows))
+    for rest in named(queue, marks):
+        yield _found(np.empty(0, MARK), rest)
+    for block in marks.blocks():
+        yield _found(block)
+
+
+def _slices(row: tuple, context: bytes):
+    """The parts of a hot anchor's context by place in the window: those between d0 and d1 bytes left of the anchor have the bytes around it in common that all of them hold, which name the part."""
+    h, _, doc, tag, pos, dlo, dhi = row
+    step = -(-SPAN // SLICES)
+    for d0 in range(0, SPAN, step):
+        d1 = min(d0 + step, SPAN) - 1
+        lo, hi = min(dlo, d1), max(dhi, d0)
+        if lo >= hi:
+            name = xxhash.xxh3_64_intdigest(context[dlo - d0 : dlo - d1 + LENGTH], d0)
+            yield (name, 0, doc, tag, pos, lo, hi), context[dlo - lo : dlo - hi + LENGTH]
+
+
+def _send_contexts(shards: int, hot: set[int]):
     """Texts with their open anchors to blobs of contexts, dealt to shards."""
 
-    def flush(parts, texts):
-        rows = np.concatenate(parts)
+    def flush(found):
+        rows, texts = np.array([r for r, _ in found], ANCHOR), [t for _, t in found]
         shard = rows["h"] % np.uint64(shards)
         out = []
         for s in np.unique(shard):
             at = np.flatnonzero(shard == s)
-            out.append((int(s), zstandard.ZstdCompressor(level=1).compress(np.uint64(len(at)).tobytes() + rows[at].tobytes() + b"".join(texts[i] for i in at.tolist()))))
+            for i in range(0, len(at), 20_000):
+                part = at[i : i + 20_000]
+                out.append((int(s), zstandard.ZstdCompressor(level=1).compress(np.uint64(len(part)).tobytes() + rows[part].tobytes() + b"".join(texts[k] for k in part.tolist()))))
         return _batch(out, ("shard", "blob"))
 
     def run(batches):
-        parts, texts, size = [], [], 0
+        found = []
         for batch in batches:
             for doc, tag, raw, rest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows = np.array([(x["h"] % (1 << 64), 0, doc, tag, x["start"], x["dlo"], x["dhi"]) for x in rest], ANCHOR)
-                parts.append(rows)
-                texts += [raw[x["start"] - x["dlo"] : x["start"] - x["dhi"] + LENGTH] for x in rest]
-                size += len(rows)
-                if size >= GATHER // 8:
-                    yield flush(parts, texts)
-                    parts, texts, size = [], [], 0
-        if parts:
-            yield flush(parts, texts)
+                for x in rest:
+                    row = (x["h"] % (1 << 64), 0, doc, tag, x["start"], x["dlo"], x["dhi"])
+                    context = raw[x["start"] - x["dlo"] : x["start"] - x["dhi"] + LENGTH]
+                    if x["h"] in hot:
+                        found += _slices(row, context)
+                    else:
+                        found.append((row, context))
+                    if len(found) >= GATHER // 8:
+                        yield flush(found)
+                        found = []
+        if found:
+            yield flush(found)
 
     return run
 
 
-def _sort_shard(key, table):
-    rows, contexts = [np.empty(0, ANCHOR)], []
-    for blob in table.column("blob").to_pylist():
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        n = int(np.frombuffer(raw, np.uint64, 1)[0])
-        part = np.frombuffer(raw, ANCHOR, n, 8)
-        rows.append(part)
-        contexts.append(raw[8 + n * ANCHOR.itemsize :])
-    return _found(equal_windows(np.concatenate(rows), b"".join(contexts)))
-
-
-def sorted_runs(h: np.ndarray, right: np.ndarray, size: np.ndarray, run: int) -> np.ndarray:
-    """The order by (h, right context, its length). Beyond run rows: sorted runs on disk, merged by a heap of their heads."""
+def at_anchors(rows: np.ndarray, contexts: bytes) -> np.ndarray:
+    """Records of the suffixes that begin at these anchors. contexts: one after the other, dlo - dhi + LENGTH bytes each."""
+    text = np.frombuffer(contexts, np.uint8)
+    dlo, dhi = rows["dlo"].astype(np.int64), rows["dhi"].astype(np.int64)
+    at = np.cumsum(dlo - dhi + LENGTH) - (dlo - dhi + LENGTH) + dlo  # of the anchor itself
+    out = np.zeros(len(rows), FIRST)
+    right = np.zeros((len(rows), RIGHT), np.uint8)
+    for k in range(LENGTH):
+        has = np.flatnonzero(LENGTH - dhi > k)
+        right[has, k] = text[at[has] + k]
+    right[:, LENGTH] = LENGTH - dhi
+    for k in range(SPAN - 1):
+        has = np.flatnonzero(dlo > k)
+        out["left"][has, k] = text[at[has] - k - 1]
+    out["key"], out["group"] = _key(rows["h"], right), rows["h"]
+    for k in ("dlo", "doc", "tag", "pos"):
+        out[k] = rows[k]
+    return out
 
-    def order(at: slice) -> np.ndarray:
-        words = right[at].view(">u8")
-        return np.lexsort((size[at], *(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), h[at])) + at.start
 
-    if len(h) <= run:
-        return order(slice(0, len(h)))
-    files = []
-    for i in range(0, len(h), run):
-        f = tempfile.TemporaryFile()
-        order(slice(i, min(i + run, len(h)))).astype("<i8").tofile(f)
-        f.seek(0)
-        files.append(f)
+def _with_prefixes(blocks):
+    """The blocks with the common prefix of each record with the one before it, 0 where the anchor is another."""
+    before = np.zeros((0, 8 + RIGHT), np.uint8)
+    for block in blocks:
+        block = block.copy()
+        key = np.concatenate((before, np.ascontiguousarray(block["key"]).view(np.uint8).reshape(len(block), -1)))
+        diff = key[1:, : 8 + LENGTH] != key[:-1, : 8 + LENGTH]
+        shared = np.where(diff.any(axis=1), diff.argmax(axis=1), 8 + LENGTH).astype(np.int64) - 8
+        lcp = np.clip(np.minimum(shared, np.minimum(key[1:, -1], key[:-1, -1])), 0, None)
+        block["lcp"] = lcp if len(before) else np.r_[0, lcp]
+        before = key[-1:]
+        yield block
+
+
+class Runs:
+    """Neighbours with LENGTH bytes in common, block by block: marks for all but the earliest of them."""
+
+    def __init__(self, marks: Marks):
+        self.marks, self.open = marks, np.empty(0, SUFFIX)
+
+    def add(self, block: np.ndarray, lcp: np.ndarray, d: int) -> None:
+        """The records of a block in order. What the last block ended with is its earliest so far and stands before them."""
+        carried = len(self.open)
+        names = ["doc", "tag", "pos"]
+        rows = np.concatenate((self.open[names], block[names]))
+        begin = np.r_[np.ones(carried, bool), lcp < LENGTH]
+        begin[0] = True
+        rank = np.empty(len(rows), np.int64)
+        rank[np.lexsort((rows["pos"], rows["tag"], rows["doc"]))] = np.arange(len(rows))
+        run, starts = np.cumsum(begin) - 1, np.flatnonzero(begin)
+        by_rank = np.empty(len(rows), np.int64)
+        by_rank[rank] = np.arange(len(rows))
+        first = by_rank[np.minimum.reduceat(rank, starts)]
+        lead = rows[first][run]
+        hit = (rows["doc"] != lead["doc"]) | (rows["tag"] != lead["tag"]) | (rows["pos"] != lead["pos"])
+        if hit.any():
+            start = rows["pos"][hit].astype(np.int64) - d
+            self.marks.add(marks_of(rows[hit], start, start + LENGTH))
+        self.open = rows[first[-1:]]
+
+
+def induce(blocks, d: int, marks: Marks) -> DiskQueue:
+    """One level: the records of suffixes that begin d bytes before their anchors, in order, to the queue of those one byte further left."""
+    out, runs = DiskQueue(SUFFIX), Runs(marks)
+    group, least = None, np.full(256, -1, np.int64)  # of the last anchor so far: the least prefix since each byte was pushed, -1 if it wasn't
+    block, ahead, at = None, None, 0
+    stream = iter(blocks)
+    block = next(stream, None)
+    while block is not None:
+        ahead = next(stream, None)
+        lcp = block["lcp"].astype(np.int64)
+        runs.add(block, lcp, d)
+        # who can still have an equal window further left: enough bytes there, and enough in common with a neighbour
+        after = np.r_[lcp[1:], 0 if ahead is None else int(ahead["lcp"][0])]
+        keep = np.flatnonzero((block["dlo"] > d) & (np.maximum(lcp, after) + block["dlo"] - d >= LENGTH))
+        kept = block[keep]
+        byte, mine = kept["left"][:, d].astype(np.int64), kept["group"]
+        to = np.lexsort((byte, mine))
+        same = (mine[to[1:]] == mine[to[:-1]]) & (byte[to[1:]] == byte[to[:-1]])
+        prefix = np.zeros(len(keep), np.int64)
+        if same.any():
+            pairs = np.stack((keep[to[:-1][same]] + 1, keep[to[1:][same]] + 1), 1).ravel()
+            prefix[to[1:][same]] = np.minimum.reduceat(np.r_[lcp, 0], pairs)[::2] + 1
+        if group is not None and len(keep):
+            first = to[np.r_[True, ~same]]
+            first = first[mine[first] == group]
+            first = first[least[byte[first]] >= 0]
+            prefix[first] = np.minimum(least[byte[first]], np.minimum.accumulate(lcp)[keep[first]]) + 1
+        # what the next block needs to know of the last anchor
+        last = int(block["group"][-1])
+        if last == group:
+            least = np.where(least >= 0, np.minimum(least, lcp.min()), -1)
+        else:
+            group, least = last, np.full(256, -1, np.int64)
+        own = np.flatnonzero(mine == np.uint64(last))
+        since = np.r_[np.minimum.accumulate(lcp[::-1])[::-1][1:], 255]
+        least[byte[own]] = since[keep[own]]  # of equal bytes the last assignment stands
+        if len(keep):
+            new = np.empty(len(kept), SUFFIX)
+            for k in ("group", "dlo", "doc", "tag", "pos", "left"):
+                new[k] = kept[k]
+            new["lcp"] = prefix
+            new["key"] = _key(mine, byte.astype(np.uint8), np.arange(at, at + len(keep), dtype=np.uint64))
+            out.push(new)
+            at += len(keep)
+        block = ahead
+    return out
 
-    def queue(f):
-        while raw := f.read(8 * 65_536):
-            for i in np.frombuffer(raw, "<i8").tolist():
-                yield int(h[i]), right[i].tobytes(), int(size[i]), i
 
-    out = np.fromiter((x[3] for x in heapq.merge(*map(queue, files))), np.int64, len(h))
-    for f in files:
-        f.close()
-    return out
+def equal_windows(queue: DiskQueue, marks: Marks) -> None:
+    """Marks of the windows of these anchors (records of at_anchors) that an earlier one of them has too."""
+    blocks = _with_prefixes(queue.blocks())
+    for d in range(SPAN - 1):
+        after = induce(blocks, d, marks)
+        if after.pushed < 2:
+            return
+        blocks = after.blocks()
+    runs = Runs(marks)
+    for block in blocks:
+        runs.add(block, block["lcp"].astype(np.int64), SPAN - 1)
 
 
-def equal_windows(rows: np.ndarray, contexts: bytes, run: int = RUN) -> np.ndarray:
-    """Marks of the windows of these anchors that an earlier one of them has too. contexts: one after the other, dlo - dhi + LENGTH bytes each."""
-    n = len(rows)
-    if n < 2:
-        return np.empty(0, MARK)
-    dlo, dhi = rows["dlo"].astype(np.int64), rows["dhi"].astype(np.int64)
-    text = np.frombuffer(contexts, np.uint8)
-    at = np.cumsum(dlo - dhi + LENGTH) - (dlo - dhi + LENGTH) + dlo  # of the anchor itself
-    size = LENGTH - dhi
-    width = -(-LENGTH // 8) * 8
-    right = np.zeros((n, width), np.uint8)
-    for k in range(LENGTH):
-        has = np.flatnonzero(size > k)
-        right[has, k] = text[at[has] + k]
-    earliest = np.empty(n, np.int64)
-    earliest[np.lexsort((rows["pos"], rows["tag"], rows["doc"]))] = np.arange(n)
-    order = sorted_runs(rows["h"], right, size, run)
-    # common prefix with the one before; 0 at the border of two hashes
-    lcp = np.zeros(n, np.int64)
-    for i in range(1, n, 1 << 18):
-        a, b = order[i - 1 : min(i - 1 + (1 << 18), n - 1)], order[i : min(i + (1 << 18), n)]
-        diff = right[a] != right[b]
-        lcp[i : i + len(b)] = np.where(rows["h"][a] == rows["h"][b], np.minimum(np.where(diff.any(axis=1), diff.argmax(axis=1), width), np.minimum(size[a], size[b])), 0)
-    del right
-    group = np.cumsum(np.r_[True, rows["h"][order[1:]] != rows["h"][order[:-1]]])
-    who, starts = [], []
-    for d in range(SPAN):
-        # windows that begin d bytes before their anchors
-        same = lcp >= LENGTH
-        if same.any():
-            begin = ~same
-            first = np.minimum.reduceat(earliest[order], np.flatnonzero(begin))[np.cumsum(begin) - 1]
-            lead = np.empty(n, np.int64)
-            lead[earliest] = np.arange(n)
-            lead = rows[lead[first]]
-            mine = rows[order]
-            hit = (first != earliest[order]) & ((lead["doc"] != mine["doc"]) | (lead["tag"] != mine["tag"]) | (lead["pos"] != mine["pos"]))
-            who.append(order[hit])
-            starts.append(rows["pos"][order[hit]].astype(np.int64) - d)
-        # who can still have an equal window further left: enough bytes there, and enough in common with a neighbour
-        near = np.maximum(lcp, np.r_[lcp[1:], 0]) + dlo[order] - d
-        keep = np.flatnonzero((dlo[order] > d) & (near >= LENGTH))
-        if len(keep) < 2:
-            break
-        lcp = np.r_[0, np.minimum.reduceat(np.r_[lcp, 0], np.stack((keep[:-1] + 1, keep[1:] + 1), 1).ravel())[::2]]
-        order, group = order[keep], group[keep]
-        lcp[0] = 0
-        lcp[1:][group[1:] != group[:-1]] = 0
-        # each goes to the queue of the byte before it, within its hash
-        byte = text[at[order] - d - 1]
-        to = np.lexsort((byte, group))
-        start, end = to[:-1] + 1, to[1:] + 1
-        inside = (group[to[1:]] == group[to[:-1]]) & (byte[to[1:]] == byte[to[:-1]])
-        least = np.zeros(len(to), np.int64)
-        if inside.any():
-            pairs = np.stack((start[inside], end[inside]), 1).ravel()
-            padded = np.r_[lcp, 0]
-            least[1:][inside] = np.minimum.reduceat(padded, pairs)[::2] + 1
-        order, group, lcp = order[to], group[to], least
-    if not who:
-        return np.empty(0, MARK)
-    who, start = np.concatenate(who), np.concatenate(starts)
-    return marks_of(rows[who], start, start + LENGTH)
+def _sort_shards(batches):
+    queue, marks = DiskQueue(FIRST), Marks()
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            raw = zstandard.ZstdDecompressor().decompress(blob)
+            n = int(np.frombuffer(raw, np.uint64, 1)[0])
+            queue.push(at_anchors(np.frombuffer(raw, ANCHOR, n, 8), raw[8 + n * ANCHOR.itemsize :]))
+    equal_windows(queue, marks)
+    for block in marks.blocks():
+        yield _found(block)
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,10 +514,13 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.crc32(text).alias("tag"), text.alias("text"), F.struct(F.lit(0).alias("_"), *[c for c in df.columns if c != text_col]).alias("row"))
     sent = docs.where(F.length("text") >= LENGTH).select("doc", "tag", "text").mapInArrow(_send_anchors(shards), "shard int, kind int, blob binary")
-    found = cut(sent.groupBy("shard").applyInArrow(_name_shard, FOUND), "anchors")
+    found = cut(sent.repartition("shard").select("kind", "blob").mapInArrow(_name_shards, FOUND), "anchors")
+    counts = found.where("h is not null").groupBy("h").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = {r.h for r in counts.where(F.col("n") > max(LEAST_HOT, total // HOT_KEYS)).select("h").collect()}
     rest = found.where("h is not null").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "start", "dlo", "dhi")).alias("rest"))
     open_ = docs.join(rest, ["doc", "tag"], "left").where("rest is not null").select("doc", "tag", "text", "rest")
-    more = open_.mapInArrow(_send_contexts(shards), "shard int, blob binary").groupBy("shard").applyInArrow(_sort_shard, FOUND)
+    more = open_.mapInArrow(_send_contexts(shards, hot), "shard int, blob binary").repartition("shard").select("blob").mapInArrow(_sort_shards, FOUND)
     marks = found.where("h is null").unionByName(more).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     return docs.join(marks, ["doc", "tag"], "left").select("doc", "text", "row", "marks")
 

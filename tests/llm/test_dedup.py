@@ -96,7 +96,7 @@ def brute_removed(docs):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_suffix_dedup_is_exact(spark, seed):
+def test_suffix_dedup_is_exact(spark, seed, monkeypatch):
     r = random.Random(seed)
     alphabet = ["ab", "abcdefgh ", "xyzé漢\n", "a\x00"][seed]
     text = lambda n: "".join(r.choice(alphabet) for _ in range(n))
@@ -109,17 +109,103 @@ def test_suffix_dedup_is_exact(spark, seed):
             x += p[r.randint(0, len(p)) :] if r.random() < 0.3 else p
         docs.append((i, "b" * 400 if i % 20 == 7 else docs[3][1] if i % 15 == 9 else x))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digests(df).collect()}
-    assert got == brute_removed([(i, t.encode()) for i, t in docs])
+    want = brute_removed([(i, t.encode()) for i, t in docs])
+    for least in (1000, 0):  # with every anchor that has several contexts as a hot one, too
+        monkeypatch.setattr(suffix_dedup, "LEAST_HOT", least)
+        monkeypatch.setattr(suffix_dedup, "HOT_KEYS", 500 if least else 1 << 40)
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digests(df).collect()}
+        assert got == want
 
 
-def test_sorted_runs_merge_from_disk():
+def test_queue_pops_in_order_from_disk():
     rng = np.random.default_rng(1)
-    h, right, size = rng.integers(0, 5, 500).astype(np.uint64), rng.integers(0, 3, (500, 104)).astype(np.uint8), rng.integers(90, 101, 500)
-    key = lambda i: (h[i], right[i].tobytes(), size[i])
-    for run in (37, 1000):
-        order = suffix_dedup.sorted_runs(h, right, size, run)
-        assert sorted(order.tolist()) == list(range(500)) and all(key(a) <= key(b) for a, b in zip(order, order[1:], strict=False))
+    kind = np.dtype([("key", "S9"), ("x", "<i8")])
+    rows = np.empty(5000, kind)
+    rows["x"] = np.arange(5000)
+    rows["key"] = suffix_dedup._key(rng.integers(0, 40, 5000), rng.integers(0, 256, 5000).astype(np.uint8))
+    for run in (37, 999, 10_000):
+        queue = suffix_dedup.DiskQueue(kind, run)
+        for i in range(0, 5000, 123):
+            queue.push(rows[i : i + 123])
+        got = np.concatenate(list(queue.blocks()))
+        assert (got["key"][1:] >= got["key"][:-1]).all() and sorted(got["x"]) == list(range(5000)) and (rows["key"][got["x"]] == got["key"]).all()
+
+
+def hot_contexts(n, seed=3):
+    """Contexts that share one anchor: few different bytes, so that windows are equal at many places, and some whole contexts twice."""
+    r = random.Random(seed)
+    rows, texts = [], []
+    for i in range(n):
+        dlo, dhi = r.randint(0, 84), 0
+        dhi = r.randint(0, dlo)
+        side = lambda k: bytes(97 + (r.random() < 0.02) for _ in range(k))
+        t = side(84) + b"0123456789abcdef" + side(84)
+        rows.append((7 << 60, 0, r.randrange(n), r.randrange(3), 1000 + 300 * i, dlo, dhi))
+        texts.append(t[84 - dlo : 84 - dhi + 100])
+    return rows, texts
+
+
+def marks_by_brute_force(rows, texts):
+    seen, out = {}, {}
+    for (_, _, doc, tag, pos, dlo, dhi), t in zip(rows, texts, strict=True):
+        for d in range(dhi, dlo + 1):
+            seen.setdefault((d, t[dlo - d : dlo - d + 100]), []).append((doc, tag, pos))
+    for (d, _), who in seen.items():
+        for doc, tag, pos in who:
+            if (doc, tag, pos) != min(who):
+                out.setdefault((doc, tag), set()).update(range(pos - d, pos - d + 100))
+    return out
+
+
+def covered(marks):
+    out = {}
+    for block in marks.blocks():
+        for x in block:
+            out.setdefault((int(x["doc"]), int(x["tag"])), set()).update(range(x["start"], x["end"]))
+    return out
+
+
+@pytest.mark.parametrize("run,block", [(40, 16), (64, 500), (10_000, 33)])
+def test_induction_from_disk_is_exact(monkeypatch, run, block):
+    """Queues and blocks far smaller than the one anchor's contexts, cut by slices or not, against brute force."""
+    monkeypatch.setattr(suffix_dedup, "RUN", run)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rows, texts = hot_contexts(700)
+    want = marks_by_brute_force(rows, texts)
+    assert len(want) > 50
+    parts = [x for r, t in zip(rows, texts, strict=True) for x in suffix_dedup._slices(r, t)]
+    for rs, ts in ((rows, texts), zip(*parts, strict=True)):
+        queue, marks = suffix_dedup.DiskQueue(suffix_dedup.FIRST), suffix_dedup.Marks()
+        queue.push(suffix_dedup.at_anchors(np.array(list(rs), suffix_dedup.ANCHOR), b"".join(ts)))
+        suffix_dedup.equal_windows(queue, marks)
+        assert covered(marks) == want
+
+
+def test_shard_ten_times_its_memory(monkeypatch):
+    """4,000 contexts of one anchor where queues sort 400 records: exact, and nothing larger is ever in memory."""
+    monkeypatch.setattr(suffix_dedup, "RUN", 400)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 400)
+    most = []
+
+    class Watched(suffix_dedup.DiskQueue):
+        def blocks(self):
+            for block in super().blocks():
+                most.append(len(block))
+                yield block
+
+        def _sorted(self):
+            rows = super()._sorted()
+            most.append(len(rows))
+            return rows
+
+    monkeypatch.setattr(suffix_dedup, "DiskQueue", Watched)
+    rows, texts = hot_contexts(4000, 5)
+    queue, marks = Watched(suffix_dedup.FIRST), suffix_dedup.Marks()
+    for i in range(0, 4000, 200):
+        queue.push(suffix_dedup.at_anchors(np.array(rows[i : i + 200], suffix_dedup.ANCHOR), b"".join(texts[i : i + 200])))
+    suffix_dedup.equal_windows(queue, marks)
+    assert covered(marks) == marks_by_brute_force(rows, texts)
+    assert max(most) <= 2 * 400 and len(queue.files) == 10
 
 
 def test_suffix_dedup_odd_rows(odd, empty):
