@@ -37,6 +37,8 @@ SPAN = LENGTH - GRAM + 1
 CHUNK_BITS = 20
 #: Anchors that a task gathers before it names and sends them; records that a queue sorts in memory; records of a block.
 GATHER, RUN, BLOCK = 1_500_000, 250_000, 50_000
+#: Runs that a queue merges at once; more are merged into one first.
+RUNS = 64
 #: Parts by place in the window that the contexts of a hot anchor are cut into.
 SLICES = 8
 #: Shards to a shuffle partition.
@@ -153,22 +155,30 @@ class DiskQueue:
         return rows[np.argsort(np.ascontiguousarray(rows["key"]), kind="stable")]
 
     def _spill(self) -> None:
+        self._write([self._sorted()])
+        if len(self.files) >= RUNS:
+            files, self.files = self.files, []
+            self._write(self._merged(files))
+
+    def _write(self, blocks) -> None:
         f = tempfile.TemporaryFile()
-        self._sorted().tofile(f)
+        for rows in blocks:
+            rows.tofile(f)
         f.seek(0)
         self.files.append(f)
 
     def blocks(self):
         if not self.files:
             rows = self._sorted()
-            for i in range(0, len(rows), BLOCK):
-                yield rows[i : i + BLOCK]
-            return
+            return (rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK))
         if self.size:
-            self._spill()
-        most = max(64, min(BLOCK, self.run) // len(self.files))
+            self._write([self._sorted()])
+        return self._merged(self.files)
+
+    def _merged(self, files: list):
+        most = max(1, min(BLOCK, self.run) // len(files))
         read = lambda f: np.frombuffer(f.read(most * self.kind.itemsize), self.kind)
-        heads = {f: read(f) for f in self.files}
+        heads = {f: read(f) for f in files}
         while heads:
             bound = min(h["key"][-1] for h in heads.values())
             taken = []
