@@ -100,12 +100,11 @@ class Vocabulary:
             self.fits[key] = ok
         return ok
 
-    def last_token(self, path: bytes, last: list[int]) -> int:
-        """The last token of the prefix path; last[i]: that of its first i bytes (last[0] unused)."""
-        n = len(path)
+    def last_token(self, tail: bytes, last: list[int], start: int = 0) -> int:
+        """The last token of a prefix that ends in tail, which begins at byte start and is the whole prefix or as long as the longest token; last[i]: that of its first i bytes (last[0] unused)."""
         tails, fits = self.tails, self.fits
-        for j in range(n - 1, -1, -1):
-            t = tails.get(path[j:])
+        for k in range(len(tail) - 1, -1, -1):
+            t, j = tails.get(tail[k:]), start + k
             if t is None:
                 break
             if t >= 0 and ((fits[key] if (key := last[j] << 32 | t) in fits else self.is_next(last[j], t)) if j else self.is_sound(t)):

@@ -35,7 +35,7 @@ def encode_trie(trie: dict, v: Vocabulary) -> dict[bytes, tuple[int, ...]]:
         if depth:
             del path[depth - 1 :], last[depth:]
             path.append(b)
-            last.append(v.last_token(bytes(path), last))
+            last.append(v.last_token(bytes(path[-v.longest :]), last, max(0, depth - v.longest)))
         if END in node:
             ids, i = [], depth
             while i:
@@ -59,7 +59,9 @@ class Encoder:
             self.known.clear()
         split = [pieces(t, self.v) for t in texts]
         trie: dict = {}
-        for word in set().union(*split) - self.known.keys() if split else ():
+        for word in set().union(*split):
+            if word in self.known:
+                continue
             if word in self.v.special:
                 self.known[word] = (self.v.special[word],)
             else:
