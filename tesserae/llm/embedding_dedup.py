@@ -4,8 +4,12 @@ A unit vector u is s*q + e with q in int8 and the length of e known, so u.v diff
 |e_u| + |e_v| (1 + |e_u|). A pair whose product and bound stay below the threshold is out for certain; all others are computed in
 double precision. Products of int8 codes are exact in float32 up to 1,040 dimensions and are summed in parts beyond.
 
+Only pairs that may reach the threshold are decided in double precision, all by the same sum over the same two vectors: where many
+do, a matrix product settles those that are further from the threshold than its rounding, and the sum decides the rest.
+
 Equal vectors are one node with a multiplicity first. Nodes are dealt into blocks, and each pair of blocks is a tile of its own; a
-tile returns, for each node, its number of links and a spanning forest of the links, never the pairs.
+tile returns, for each node, its number of links and a spanning forest of the links, never the pairs. A vector goes to as many tiles
+as there are blocks, so blocks are as large as keeps the cores busy, up to BLOCK nodes.
 """
 
 from __future__ import annotations
@@ -18,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import connected_components, cut, map_rows
+from tesserae.llm.common import connected_components, cut, join_unique, map_rows
 
-#: Nodes of a block, at least; of a part of a tile that is multiplied at once.
-BLOCK, PART = 4096, 2048
+#: Nodes of a block, at most and at least; of a part of a tile that is multiplied at once.
+BLOCK, SMALL, PART = 32_768, 1024, 2048
 #: Dimensions whose int8 products sum exactly in float32.
 EXACT = 1024
-#: A part with more hits than this share is computed in full precision as a whole.
-DENSE = 0.02
+#: From this share of candidates on a part's candidates are first settled by a matrix product, which is exact to ROUNDING.
+DENSE, ROUNDING = 0.02, 1e-11
 
 
 def canonical(x) -> bytes:
@@ -81,6 +85,11 @@ class Links:
             self.union(np.concatenate(([i0 + i], j0 + np.flatnonzero(hit[i]))))
 
 
+def cosines(u: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of rows, by a sum that doesn't depend on what else is computed or on the order of a pair."""
+    return np.concatenate([(u[x[i : i + 100_000]] * u[y[i : i + 100_000]]).sum(axis=1) for i in range(0, len(x), 100_000)]) if len(x) else np.zeros(0)
+
+
 def tile(vectors: np.ndarray, first: int, mult: np.ndarray, threshold: float) -> Links:
     """Links between vectors[:first] and vectors[first:], or among all where first is 0."""
     u = unit(vectors)
@@ -93,17 +102,21 @@ def tile(vectors: np.ndarray, first: int, mult: np.ndarray, threshold: float) ->
             if not first and j < i:
                 continue
             b = slice(j, min(j + PART, n))
-            need = (threshold - err[a] - err[b].max() * (1 + err[a])) / (scale[a] * scale[b].max())
+            gap = threshold - err[a] - err[b].max() * (1 + err[a])
+            need = np.where(gap > 0, gap / (scale[a] * scale[b].max()), -np.inf)
             hit = int8_product(q[a], q[b]) >= np.nextafter(need.astype(np.float32), np.float32(-np.inf))[:, None]
             if i == j:
                 hit = np.triu(hit, 1)
             at = np.flatnonzero(hit)
             if len(at) > DENSE * hit.size:
-                exact = u[a] @ u[b].T >= threshold
-                links.add_matrix(np.triu(exact, 1) if i == j else exact, i, j)
+                product = u[a] @ u[b].T
+                x, y = np.nonzero(hit & (np.abs(product - threshold) <= ROUNDING))
+                hit &= product >= threshold
+                hit[x, y] = cosines(u, x + i, y + j) >= threshold
+                links.add_matrix(hit, i, j)
             elif len(at):
                 x, y = at // hit.shape[1] + i, at % hit.shape[1] + j
-                ok = np.einsum("ij,ij->i", u[x], u[y]) >= threshold
+                ok = cosines(u, x, y) >= threshold
                 links.add_pairs(x[ok], y[ok])
     return links
 
@@ -128,7 +141,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"), F.first("raw").alias("raw"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     n = nodes.count()
-    blocks = max(1, -(-n // BLOCK))
+    busy = int((6 * df.sparkSession.sparkContext.defaultParallelism) ** 0.5)  # blocks whose pairs are three tiles a core
+    blocks = max(1, -(-n // BLOCK), min(busy, -(-n // SMALL)))
     block = F.pmod(F.xxhash64("node"), F.lit(blocks))
     dealt = nodes.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     dealt = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "mult", "raw")
@@ -157,6 +171,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     sums = found.groupBy("node").agg(F.sum("n").alias("n"))
     full = nodes.select("node", "digest", "low", "mult").join(sums, "node", "left").join(comp, "node", "left").withColumn("root", F.coalesce("component", "node"))
     low = full.groupBy("root").agg(F.min("low").alias("component_id"))
-    full = full.join(low, "root").select("digest", "component_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    out = rows.select("vec_id", "digest").join(full, "digest", "left")
+    full = cut(full.join(low, "root").select("digest", "mult", "component_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "full")
+    out = join_unique(rows.where("digest is not null").select("vec_id", "digest"), full, "digest", "mult").select("vec_id", "n_links", "component_id")
+    out = out.union(rows.where("digest is null").select("vec_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
