@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Forest, connected_components, cut, map_rows, texts_of
+from tesserae.llm.common import Forest, connected_components, cut, join_unique, map_rows, texts_of
 
 SEED = 42
-#: Fingerprints of the driver's sample, of a shard as planned, and of a leaf.
-SAMPLE, SHARD, LEAF = 20_000, 20_000, 96
+#: Fingerprints of the driver's sample at least and at most, of them for a shard, of a shard as planned and at least, and of a leaf.
+SAMPLE, MOST_SAMPLE, SEEDS, SHARD, SMALL, LEAF = 20_000, 2_000_000, 16, 20_000, 2000, 96
 #: Shingles whose bits are counted at once.
 AT_ONCE = 100_000
 
@@ -100,31 +100,49 @@ def pairs_within(root: Node, queries: np.ndarray, radius: int):
         stack.append((node.outside, at[d > node.radius - radius]))
 
 
-def _leaves(node: Node, path=()):
-    if node.leaf is not None:
-        yield path
-    else:
-        yield from _leaves(node.inside, (*path, (node.point, node.radius, 0)))
-        yield from _leaves(node.outside, (*path, (node.point, node.radius, 1)))
+def leaves_of(root: Node) -> list[Node]:
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.leaf is not None:
+            out.append(node)
+        else:
+            stack += [node.outside, node.inside]
+    return out
 
 
-def links(distinct: DataFrame, radius: int = 2, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """(a, b): a spanning forest, shard by shard, of the pairs of distinct fingerprints (column fp) within radius."""
+def links(distinct: DataFrame, radius: int = 2, shard: int | None = None) -> DataFrame:
+    """(a, b): a spanning forest, shard by shard, of the pairs of distinct fingerprints (column fp) within radius.
+
+    The sample is SEEDS fingerprints for each shard that is planned, MOST_SAMPLE at most (16 MB): beyond 2.5 billion distinct
+    fingerprints shards grow with them. Small inputs get as many shards as there are cores, if those have SMALL fingerprints each.
+    """
     n = distinct.count()
-    seeds = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp")).limit(sample).collect()], dtype=np.int64).view(np.uint64)
-    paths = list(_leaves(Node(seeds, max(1, len(seeds) * shard // max(n, 1), 16))))
+    size = max(1, min(shard or SHARD, max(SMALL, n // distinct.sparkSession.sparkContext.defaultParallelism)) if shard is None else shard)
+    want = min(MOST_SAMPLE, max(SAMPLE, n // size * SEEDS))
+    part = distinct.select("fp") if n <= want else distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(want / n * (1 << 30)))
+    seeds = np.array(part.toArrow().column(0).to_numpy(), dtype=np.int64).view(np.uint64)
+    seeds.sort()
+    top = Node(seeds, max(1, len(seeds) * size // max(n, 1)))
+    number = {id(x): i for i, x in enumerate(leaves_of(top))}
+    for x in leaves_of(top):
+        x.leaf = np.array([number[id(x)]])  # only its number goes to the tasks
 
     def deal(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
-            for s, path in enumerate(paths):
-                reach, own = np.ones(len(fp), bool), np.ones(len(fp), bool)
-                for point, r, side in path:
-                    d = np.bitwise_count(fp ^ point).astype(np.int16)
-                    own &= (d > r) == bool(side)
-                    reach &= (d > r - radius) if side else (d <= r + radius)
-                if reach.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(reach.sum(), s, np.int32)), pa.array(fp[reach].view(np.int64)), pa.array(own[reach])], names=["shard", "fp", "own"])
+            stack = [(top, np.arange(len(fp)), np.ones(len(fp), bool))]
+            while stack:
+                node, at, own = stack.pop()
+                if not len(at):
+                    continue
+                if node.leaf is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), node.leaf[0], np.int32)), pa.array(fp[at].view(np.int64)), pa.array(own)], names=["shard", "fp", "own"])
+                    continue
+                d = np.bitwise_count(fp[at] ^ node.point).astype(np.int16)
+                near, far = d <= node.radius + radius, d > node.radius - radius
+                stack.append((node.inside, at[near], own[near] & (d[near] <= node.radius)))
+                stack.append((node.outside, at[far], own[far] & (d[far] > node.radius)))
 
     def search(key, table):
         fp = table.column("fp").to_numpy().view(np.uint64)
@@ -150,12 +168,12 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, id_col: str =
     fingerprint and component; it names no component itself unless all ids of the component are null. Repeated rows stay.
     """
     docs = cut(fingerprints(df, size, id_col, text_col), "fingerprints")
-    distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     comp = connected_components(links(distinct, radius))
-    rooted = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(low, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"))
+    low = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "roots")
+    named = cut(join_unique(rooted, low, "root", "members").select("fp", "n", "component_id"), "named")
+    return join_unique(docs, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_rows(df: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
