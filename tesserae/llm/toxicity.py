@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import map_rows, small_batches, texts_of
 
 #: Bounds of the fitting sample.
-MAX_TOXIC, MAX_ORDINARY, FIT_BYTES = 2400, 6000, 200_000
+MAX_TOXIC, MAX_ORDINARY, FIT_BYTES = 2400, 6000, 32_000
 WINDOW = 256
 ORDINARY_BYTES, TOXIC_BYTES = 1024, 4096
 GRAM, MATCH = 5, 6
@@ -170,8 +170,9 @@ def fit_from(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model
     by = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     take = lambda kind, n: rows.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = take(1, MAX_TOXIC).unionByName(take(0, MAX_ORDINARY))
-    texts = texts_of(docs).where(F.length("text").between(1, FIT_BYTES)).join(F.broadcast(ids), "doc_id")
-    found = sorted({(r.doc_id, r.toxic, bytes(r.text)) for r in texts.collect()}, key=lambda r: (hash_order(r[0]), r))
+    # one text for each id and label, so what comes to the driver is bounded: (MAX_TOXIC + MAX_ORDINARY) * FIT_BYTES, 269 MB at the very most
+    texts = texts_of(docs).where(F.length("text").between(1, FIT_BYTES)).join(F.broadcast(ids.distinct()), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = sorted(((r.doc_id, r.toxic, bytes(r.text)) for r in texts.collect()), key=lambda r: (hash_order(r[0]), r))
     odds = by[1] / by[0] if by.get(0) and by.get(1) else None
     return fit([t for _, k, t in found if k], [t for _, k, t in found if not k], odds)
 
