@@ -1,7 +1,9 @@
 """Quality rules by document and by host.
 
-A pass over each text counts what the rules need. Failures are then summed by host, each host's rate is shrunk towards all
-hosts by a beta prior fitted to them (empirical Bayes, method of moments), and the verdict on a host comes back to its documents.
+A pass over each text counts what the rules need. Failures of each rule are then summed by host, each host's rate is shrunk towards
+that of all hosts by a beta prior fitted to them (empirical Bayes, method of moments), a host is refused where the rate of a rule is
+too high, and the verdict comes back to its documents. Only the base rules refuse a document by itself: the others, symbols and
+repeated lines, are too common in single good documents and tell something of hosts that fail them throughout.
 """
 
 from __future__ import annotations
@@ -76,16 +78,28 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+#: Failures that are summed by host, as conditions on a row of measures: the base rules, a symbol for ten words, a repeated line for twenty.
+RULES = {"base": "base_failed", "symbols": "10 * n_symbols > n_words", "dup_lines": "20 * n_dup_lines > n_words"}
+
+
 def host_verdicts(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
-    """host, docs, failed, shrunk_rate, host_ok. The prior's mean m is the failure rate of all documents; its weight comes from how much more host rates vary about m than chance lets them."""
-    partial = measured.groupBy("host", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    hosts = partial.groupBy("host").agg(F.sum("docs").alias("docs"), F.sum("failed").alias("failed"))
-    whole = hosts.agg(F.sum("docs").cast("double").alias("n"), F.sum("failed").cast("double").alias("k"), F.count("*").cast("double").alias("h"))
-    whole = whole.select("h", "n", F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0).alias("m"))
-    spread = hosts.join(F.broadcast(whole)).agg(F.sum(F.col("docs") * (F.col("failed") / F.col("docs") - F.col("m")) * (F.col("failed") / F.col("docs") - F.col("m"))).alias("s"), F.sum(F.col("docs").cast("double") * F.col("docs")).alias("n2"))
-    prior = whole.join(F.broadcast(spread)).select("m", prior_weight(F.col("h"), F.col("n"), F.col("m"), F.col("s"), F.col("n2")).alias("w"))
-    rate = (F.col("failed") + F.col("m") * F.col("w")) / (F.col("docs") + F.col("w"))
-    return hosts.join(F.broadcast(prior)).select("host", "docs", "failed", rate.alias("shrunk_rate"), (rate <= host_rate).alias("host_ok"))
+    """host, docs, failed (of the base rules), a rate_ for each of RULES, shrunk_rate (the highest), host_ok.
+
+    For each rule the prior's mean m is the failure rate of all documents; its weight comes from how much more host rates vary about
+    m than chance lets them.
+    """
+    k = lambda r: F.col(f"failed_{r}")
+    partial = measured.groupBy("host", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("docs"), *[F.count_if(F.expr(x)).alias(f"failed_{r}") for r, x in RULES.items()])
+    hosts = partial.groupBy("host").agg(F.sum("docs").alias("docs"), *[F.sum(k(r)).alias(f"failed_{r}") for r in RULES])
+    n = F.col("n")
+    whole = hosts.agg(F.sum("docs").cast("double").alias("n"), F.count("*").cast("double").alias("h"), *[F.sum(k(r)).cast("double").alias(f"k_{r}") for r in RULES])
+    whole = whole.select("h", "n", *[F.when(n > 0, F.col(f"k_{r}") / n).otherwise(0.0).alias(f"m_{r}") for r in RULES])
+    off = lambda r: k(r) / F.col("docs") - F.col(f"m_{r}")
+    spread = hosts.join(F.broadcast(whole)).agg(F.sum(F.col("docs").cast("double") * F.col("docs")).alias("n2"), *[F.sum(F.col("docs") * off(r) * off(r)).alias(f"s_{r}") for r in RULES])
+    prior = whole.join(F.broadcast(spread)).select(*[x for r in RULES for x in (F.col(f"m_{r}"), prior_weight(F.col("h"), n, F.col(f"m_{r}"), F.col(f"s_{r}"), F.col("n2")).alias(f"w_{r}"))])
+    rates = {r: (k(r) + F.col(f"m_{r}") * F.col(f"w_{r}")) / (F.col("docs") + F.col(f"w_{r}")) for r in RULES}
+    rows = hosts.join(F.broadcast(prior)).select("host", "docs", k("base").alias("failed"), *[x.alias(f"rate_{r}") for r, x in rates.items()])
+    return rows.withColumn("shrunk_rate", F.greatest(*[F.col(f"rate_{r}") for r in RULES])).withColumn("host_ok", F.col("shrunk_rate") <= host_rate)
 
 
 def prior_weight(h: Column, n: Column, m: Column, s: Column, n2: Column) -> Column:
