@@ -22,9 +22,9 @@ def parse_ranges(df: DataFrame, key: str) -> DataFrame:
     return rows.where("first <= last")
 
 
-def expand_ranges(ranges: DataFrame, key: str, longest: int = 512) -> DataFrame:
-    """One row an index: the narrowest range that covers it, then the greater key. A section has at most 512 indexes."""
-    rows = ranges.withColumn("index", F.explode(F.sequence("first", F.least("last", F.col("first") + longest - 1))))
+def expand_ranges(ranges: DataFrame, key: str) -> DataFrame:
+    """One row an index: the narrowest range that covers it, then the greater key."""
+    rows = ranges.withColumn("index", F.explode(F.sequence("first", "last")))
     order = Window.partitionBy("section", "index").orderBy((F.col("last") - F.col("first")).asc(), F.col(key).desc())
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "first", "last")
 

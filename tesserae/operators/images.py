@@ -29,9 +29,16 @@ def mean_colour(px: DataFrame) -> DataFrame:
 
 
 def covariance(px: DataFrame, least: int = 10) -> DataFrame:
-    """Population covariance of visible pixel places; images with fewer than least visible pixels pass through and have no row."""
-    v = px.where("alpha > 0").groupBy("image").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("xx"), F.covar_pop("x", "y").alias("xy"), F.var_pop("y").alias("yy"))
-    return v.where(F.col("n") >= least)
+    """Population covariance of visible pixel places; images with fewer than least visible pixels pass through and have no row.
+
+    Places are whole numbers, so the sums are exact in any order and only the last division rounds.
+    """
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    s = px.where("alpha > 0").groupBy("image").agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in (("sx", x), ("sy", y), ("sxx", x * x), ("sxy", x * y), ("syy", y * y))])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    over = lambda v: v.cast("double") / (n * n).cast("double")
+    moments = [over(n * F.col("sxx") - sx * sx).alias("xx"), over(n * F.col("sxy") - sx * sy).alias("xy"), over(n * F.col("syy") - sy * sy).alias("yy")]
+    return s.where(n >= least).select("image", "n", (sx / n).alias("mx"), (sy / n).alias("my"), *moments)
 
 
 def eigen2(a: Column, b: Column, d: Column) -> dict[str, Column]:
@@ -93,7 +100,7 @@ def mirror(px: DataFrame, width: int) -> DataFrame:
     return px.withColumn("x", width - 1 - F.col("x"))
 
 
-def components(px: DataFrame, rounds: int = 64) -> DataFrame:
+def components(px: DataFrame) -> DataFrame:
     """(image, x, y, label) of visible pixels, 8-connected; the label is the least pixel number of the component.
 
     A neighbour step is one aggregate: each pixel sends its label to its nine places and takes the least that arrives; then it
@@ -103,7 +110,7 @@ def components(px: DataFrame, rounds: int = 64) -> DataFrame:
     v = cut(px.where("alpha > 0").select("image", "x", "y", (F.col("y") * side + F.col("x")).alias("id")), "pixels")
     state, before = v.withColumn("label", F.col("id")), None
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    for _ in range(rounds):
+    while True:
         sent = state.select("image", F.explode(steps).alias("s"), "x", "y", "label").select("image", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "label")
         low = cut(v.join(sent.groupBy("image", "x", "y").agg(F.min("label").alias("label")), ["image", "x", "y"]), "labels")
         roots = low.select("image", F.col("id").alias("label"), F.col("label").alias("up"))

@@ -14,14 +14,14 @@ def local_matrix(rx: Column, ry: Column, rz: Column, tx: Column, ty: Column, tz:
     return F.array(*L.compose(L.quaternion_matrix(L.quaternion(rx, ry, rz)), [tx, ty, tz]))
 
 
-def chains(bones: DataFrame, depth: int = 100) -> DataFrame:
+def chains(bones: DataFrame) -> DataFrame:
     """(bone, ancestor, steps): each bone with itself and all its ancestors, by doubling: a round joins chains with chains, so depth d
-    takes log2(d) joins. A parent that isn't below its bone makes the bone a root. bones: bone, parent."""
+    takes log2(d) joins, and rounds end when no chain goes on. A parent that isn't below its bone makes the bone a root. bones: bone, parent."""
     up = bones.select("bone", F.when((F.col("parent") >= 0) & (F.col("parent") < F.col("bone")), F.col("parent")).alias("parent"))
     known = up.select("bone", F.col("bone").alias("ancestor"), F.lit(0).alias("steps"))
     jump = up.where("parent is not null").select(F.col("bone").alias("b"), F.col("parent").alias("p"))
     reach = 1
-    while reach <= depth:
+    while True:
         jump = cut(jump, "jump")
         if jump.isEmpty():
             break
@@ -32,9 +32,9 @@ def chains(bones: DataFrame, depth: int = 100) -> DataFrame:
     return known
 
 
-def world_matrices(bones: DataFrame, depth: int = 100) -> DataFrame:
+def world_matrices(bones: DataFrame) -> DataFrame:
     """(bone, world): the product of the local transforms from the root down. A chain's transforms meet in one row, as long as the chain is deep."""
-    c = chains(bones, depth).join(bones.select(F.col("bone").alias("ancestor"), "local"), "ancestor")
+    c = chains(bones).join(bones.select(F.col("bone").alias("ancestor"), "local"), "ancestor")
     path = c.groupBy("bone").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("k"), "local"))).alias("path"))
 
     def product(a: Column, b: Column) -> Column:

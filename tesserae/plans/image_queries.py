@@ -29,12 +29,12 @@ def A6_mean_colour(spark, sf):
     return I.mean_colour(texels(spark, sf))
 
 
-COV = f"{TEXELS}, cov as (select image, count(*) as n, var_pop(x) as xx, covar_pop(x, y) as xy, var_pop(y) as yy from texels where alpha > 0 group by image having count(*) >= 10)"
+COV = f"{TEXELS}, sums as (select image, count(*) as n, sum(x)::bigint as sx, sum(y)::bigint as sy, sum(x * x)::bigint as sxx, sum(x * y)::bigint as sxy, sum(y * y)::bigint as syy from texels where alpha > 0 group by image having count(*) >= 10), cov as (select image, n, (n * sxx - sx * sx)::double / (n * n)::double as xx, (n * sxy - sx * sy)::double / (n * n)::double as xy, (n * syy - sy * sy)::double / (n * n)::double as yy from sums)"
 
 
-@query(f"with {COV} select image, n, round(xx, 6) as xx, round(xy, 6) as xy, round(yy, 6) as yy from cov")
+@query(f"with {COV} select image, n, xx, xy, yy from cov")
 def A17_covariance(spark, sf):
-    return I.covariance(texels(spark, sf)).select("image", "n", *[F.round(c, 6).alias(c) for c in ("xx", "xy", "yy")])
+    return I.covariance(texels(spark, sf)).select("image", "n", "xx", "xy", "yy")
 
 
 @query(f"with {COV}, e as (select image, (xx + yy) / 2 + sqrt(greatest((xx - yy) * (xx - yy) / 4 + xy * xy, 0.0)) as l1, xx, xy, yy from cov) select image, round(l1, 5) as l1, round(xx + yy - l1, 5) as l2, round(abs(case when abs(xy) < 1e-9 then case when xx >= yy then 1.0 else 0.0 end else (l1 - yy) / sqrt((l1 - yy) * (l1 - yy) + xy * xy) end), 5) as vx from e")
