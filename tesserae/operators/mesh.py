@@ -153,14 +153,22 @@ def passes(f: DataFrame, force_additive: Column, on_top: bool) -> DataFrame:
 
 
 def inside_earlier(f: DataFrame, slack: float = 2.0) -> DataFrame:
-    """f with decoration: a TGA mesh whose x,y box lies within that of an earlier sibling, slack aside; such meshes are drawn nearer."""
+    """f (pass, path, screen box min_px..max_py) with decoration: an opaque TGA mesh whose box on the screen lies within that of an
+    earlier opaque mesh of its item, slack pixels aside; such meshes are drawn nearer."""
+    opaque = f.where("pass = 'opaque'")
     earlier = (F.col("o_mesh") < F.col("mesh")) & is_tga(F.col("path"))
-    for k in ("x", "y"):
+    for k in ("px", "py"):
         earlier &= (F.col(f"min_{k}") >= F.col(f"o_min_{k}") - slack) & (F.col(f"max_{k}") <= F.col(f"o_max_{k}") + slack)
-    found = siblings(f).groupBy("item", "mesh").agg(F.bool_or(earlier).alias("decoration"))
+    found = siblings(opaque).groupBy("item", "mesh").agg(F.bool_or(earlier).alias("decoration"))
     return f.join(found, ["item", "mesh"], "left").withColumn("decoration", F.coalesce("decoration", F.lit(False)))
 
 
+def draw_order(f: DataFrame) -> DataFrame:
+    """f (pass) with order: the union of an item's passes, one after the other, each by mesh."""
+    rank = F.array_position(F.array(*map(F.lit, ("force_under", "opaque", "alpha", "additive", "force_top"))), F.col("pass"))
+    return f.withColumn("order", F.row_number().over(Window.partitionBy("item").orderBy(rank, "mesh")))
+
+
 def flatness(f: DataFrame) -> DataFrame:
     """f with flat: the shortest span is under a twentieth of the longest."""
     s = [span(k) for k in AXES]

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import catalogue as C
 from tesserae.operators import mesh as M
+from tesserae.operators.camera import screen_boxes
+from tesserae.operators.skeleton import orthographic
 from tesserae.plans.bindings import MESH_NAME, VERTICES, mesh_names, vertices
 from tesserae.plans.registry import query
 
@@ -184,12 +186,37 @@ def M1_pass_classifier(spark, sf):
     return M.passes(f, M.in_list(F.col("path"), F.array(F.lit("hilt"))), False).select("item", "mesh", "pass")
 
 
-@query(f"with {FEATURES}, d as (select a.item, a.mesh, bool_or(o.mesh < a.mesh and a.ext = '.tga' and a.min_x >= o.min_x - 2 and a.max_x <= o.max_x + 2 and a.min_y >= o.min_y - 2 and a.max_y <= o.max_y + 2) as decoration from m a join m o on a.item = o.item and a.mesh <> o.mesh group by 1, 2) select m.item, m.mesh, coalesce(d.decoration, false) as decoration, case when coalesce(d.decoration, false) then 1000000.0 else 0.0 end::double as z_bias from m left join d on m.item = d.item and m.mesh = d.mesh")
+PASSES = f"""{FLAGS}, p as (select item, mesh, ext, {PASS} as pass0 from f),
+q as (select *, count(*) filter (where pass0 = 'opaque') over (partition by item) = 0 as none, first_value(mesh) over (partition by item order by case pass0 when 'additive' then 0 when 'alpha' then 1 else 2 end, mesh) as first from p),
+passes as (select item, mesh, ext, case when none and mesh = first and pass0 in ('additive', 'alpha') then 'opaque' else pass0 end as pass from q),
+mid as (select item, (min(x) + max(x)) / 2 as cx, (min(y) + max(y)) / 2 as cy from vertices group by item),
+screen as (select v.item, mesh, min((x - cx) * 4 + 128) as min_px, max((x - cx) * 4 + 128) as max_px, min(128 - (y - cy) * 4) as min_py, max(128 - (y - cy) * 4) as max_py from vertices v join mid on v.item = mid.item group by v.item, mesh)"""
+
+
+def passes(spark, sf):
+    """Classified meshes with their boxes on a canvas of 256 by 256."""
+    f = M.passes(flags(spark, sf), M.in_list(F.col("path"), F.array(F.lit("hilt"))), False)
+    return f.join(screen_boxes(orthographic(vertices(spark, sf), 256, 256, 4.0)), ["item", "mesh"])
+
+
+@query(f"with {PASSES} select s.item, s.mesh, round(min_px, 4) as min_px, round(max_px, 4) as max_px, round(min_py, 4) as min_py, round(max_py, 4) as max_py from screen s join passes p on s.item = p.item and s.mesh = p.mesh where pass = 'opaque'")
+def A3_screen_boxes(spark, sf):
+    return passes(spark, sf).where("pass = 'opaque'").select("item", "mesh", *[F.round(f"{n}_{k}", 4).alias(f"{n}_{k}") for k in ("px", "py") for n in ("min", "max")])
+
+
+@query(f"""with {PASSES}, o as (select s.*, ext from screen s join passes p on s.item = p.item and s.mesh = p.mesh where pass = 'opaque'),
+d as (select a.item, a.mesh from o a join o b on a.item = b.item and b.mesh < a.mesh where a.ext = '.tga' and a.min_px >= b.min_px - 2 and a.max_px <= b.max_px + 2 and a.min_py >= b.min_py - 2 and a.max_py <= b.max_py + 2 group by 1, 2)
+select p.item, p.mesh, d.item is not null as decoration, case when d.item is not null then 1000000.0 else 0.0 end::double as z_bias from passes p left join d on p.item = d.item and p.mesh = d.mesh""")
 def M10_decoration_bias(spark, sf):
-    rows = M.inside_earlier(meshes(spark, sf))
+    rows = M.inside_earlier(passes(spark, sf))
     return rows.select("item", "mesh", "decoration", F.when(F.col("decoration"), 1e6).otherwise(0.0).alias("z_bias"))
 
 
+@query(f"with {PASSES} select item, mesh, pass, row_number() over (partition by item order by case pass when 'force_under' then 1 when 'opaque' then 2 when 'alpha' then 3 when 'additive' then 4 else 5 end, mesh) as \"order\" from passes")
+def U1_draw_order(spark, sf):
+    return M.draw_order(passes(spark, sf)).select("item", "mesh", "pass", F.col("order").cast("long").alias("order"))
+
+
 @query(f"with {FEATURES} select item, mesh, stem, ext, regexp_replace(stem, '[0-9]+$', '') as stem_base from m")
 def H1_stems(spark, sf):
     p = F.col("path")

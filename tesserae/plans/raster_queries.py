@@ -32,7 +32,6 @@ t2 as (select *, {T(1, 2)} as t0, {T(2, 0)} as t1, {T(0, 1)} as t2 from t1 where
 sxs as (select *, unnest(generate_series(x_lo, x_hi))::int as sx from t2), sys as (select *, unnest(generate_series(y_lo, y_hi))::int as sy from sxs),
 w as (select *, ((y1 - y2) * (sx - x2) + (x2 - x1) * (sy - y2)) / det as w0, ((y2 - y0) * (sx - x2) + (x0 - x2) * (sy - y2)) / det as w1 from sys),
 frag as (select image, tri, sx, sy, w0, w1, 1.0::double - w0 - w1 as w2, w0 * z0 + w1 * z1 + (1.0::double - w0 - w1) * z2 as z from w where w0 >= t0 and w1 >= t1 and 1.0::double - w0 - w1 >= t2)"""
-BASE = f"{FRAGMENTS}, base as (select image, sx, sy, max(z) as z, arg_max(tri % 256, (z, tri)) as colour from (select *, row_number() over (partition by image, sx, sy order by z desc, tri desc) as n from frag where tri % 3 <> 0) where n = 1 group by image, sx, sy)"
 
 
 def frags(spark, sf):

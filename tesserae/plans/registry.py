@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tesserae.plans import audit_queries, byte_queries, config_queries, graph_queries, image_queries, mesh_queries, raster_queries  # noqa: F401
+    from tesserae.plans import audit_queries, byte_queries, config_queries, graph_queries, image_queries, mesh_queries, raster_queries, render_queries  # noqa: F401
 
 
 load()
