@@ -7,14 +7,14 @@ row with an error and not an exception.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions import ciphers
+from tesserae.functions import ciphers, more_ciphers
 
 #: Layout of a configuration record: id, position, rotation in degrees, scale.
 CONFIG = np.dtype([("id", "<u4"), ("pos_x", "<f4"), ("pos_y", "<f4"), ("pos_z", "<f4"), ("rot_x", "<f4"), ("rot_y", "<f4"), ("rot_z", "<f4"), ("scale", "<f4")])
@@ -138,12 +138,15 @@ def chained_xor_bytes(data: bytes, key: bytes, start: int = 0x5E, step: int = 0x
     return ((b ^ np.resize(np.frombuffer(key, np.uint8), len(b))) - chain).astype(np.uint8).tobytes()
 
 
-def decryptors(xor_key: bytes | None = None, lea_key: bytes | None = None) -> dict[int, Callable[[bytes], bytes]]:
+def decryptors(xor_key: bytes | None = None, lea_key: bytes | None = None, stage_key: bytes | None = None, cast_boxes: Sequence | None = None, gost_boxes: Sequence | None = None) -> dict[int, Callable[[bytes], bytes]]:
+    """By version of the file; versions without a key are left out. Files whose selectors ask for boxes that weren't given become error rows."""
     out: dict[int, Callable[[bytes], bytes]] = {}
     if xor_key:
         out[12] = lambda b: chained_xor_bytes(b, xor_key)
     if lea_key:
         out[15] = lambda b: ciphers.lea256(b, lea_key)
+    if stage_key:
+        out[14] = lambda b: more_ciphers.two_stage(b, stage_key, cast_boxes, gost_boxes)
     return out
 
 
