@@ -66,16 +66,16 @@ def stddev_floor(values: Column, least: int = 10) -> Column:
 
 
 def flip_needed(px: DataFrame, degrees: float = -45.0) -> DataFrame:
-    """Whether the half of the visible pixels ahead along an axis spreads over 1.2 times as wide across it as the half behind; below 20 pixels not."""
+    """Whether the visible pixels ahead of their box's middle along an axis, the dividing line included, spread over 1.2 times as wide across it as those behind; below 20 pixels not."""
     from math import cos, radians, sin
 
     ux, uy = cos(radians(degrees)), sin(radians(degrees))
     v = px.where("alpha > 0")
-    centre = v.groupBy("image").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n"))
+    centre = v.groupBy("image").agg(*[((F.min(k) + F.max(k)) / 2).alias("c" + k) for k in "xy"], F.count("*").alias("n"))
     v = v.join(centre, "image")
     along = F.round((F.col("x") - F.col("cx")) * ux + (F.col("y") - F.col("cy")) * uy, 6)
     across = -(F.col("x") - F.col("cx")) * uy + (F.col("y") - F.col("cy")) * ux
-    s = v.groupBy("image").agg(F.first("n").alias("n"), stddev_floor(F.when(along > 0, across)).alias("ahead"), stddev_floor(F.when(along < 0, across)).alias("behind"))
+    s = v.groupBy("image").agg(F.first("n").alias("n"), stddev_floor(F.when(along >= 0, across)).alias("ahead"), stddev_floor(F.when(along < 0, across)).alias("behind"))
     return s.select("image", "n", F.round("ahead", 4).alias("ahead"), F.round("behind", 4).alias("behind"), ((F.col("n") >= 20) & (F.round("ahead", 4) > F.round(1.2 * F.round("behind", 4), 4))).alias("flip"))
 
 

@@ -53,9 +53,9 @@ def A18_stddev_floor(spark, sf):
     return texels(spark, sf).groupBy("image").agg(F.round(I.stddev_floor(F.when(F.col("alpha") > 0, F.col("r"))), 5).alias("spread"))
 
 
-@query(f"""with {TEXELS}, v as (select image, x, y, avg(x) over (partition by image) as cx, avg(y) over (partition by image) as cy, count(*) over (partition by image) as n from texels where alpha > 0),
+@query(f"""with {TEXELS}, v as (select image, x, y, (min(x) over (partition by image) + max(x) over (partition by image)) / 2.0 as cx, (min(y) over (partition by image) + max(y) over (partition by image)) / 2.0 as cy, count(*) over (partition by image) as n from texels where alpha > 0),
 h as (select image, n, round((x - cx) * cos(radians(-45)) + (y - cy) * sin(radians(-45)), 6) as along, -(x - cx) * sin(radians(-45)) + (y - cy) * cos(radians(-45)) as across from v),
-s as (select image, any_value(n) as n, round(case when count(*) filter (where along > 0) < 10 then 0.0 else stddev_pop(case when along > 0 then across end) end, 4) as ahead, round(case when count(*) filter (where along < 0) < 10 then 0.0 else stddev_pop(case when along < 0 then across end) end, 4) as behind from h group by image)
+s as (select image, any_value(n) as n, round(case when count(*) filter (where along >= 0) < 10 then 0.0 else stddev_pop(case when along >= 0 then across end) end, 4) as ahead, round(case when count(*) filter (where along < 0) < 10 then 0.0 else stddev_pop(case when along < 0 then across end) end, 4) as behind from h group by image)
 select image, n, ahead, behind, n >= 20 and ahead > round(1.2 * behind, 4) as flip from s""")
 def A19_flip_needed(spark, sf):
     return I.flip_needed(texels(spark, sf))
