@@ -54,9 +54,9 @@ def first_seen(df: DataFrame, key: Column, order: Column, name: str = "is_new")
     return df.withColumn("_key", key).join(first, "_key").withColumn(name, order == F.col("_first")).drop("_key", "_first")
 
 
-def manifest(items: DataFrame) -> DataFrame:
-    """A row for each selected item, failed ones too."""
-    return items.select("section", "name", "index", "model_file", F.format_string("%02d/%03d.webp", "section", "index").alias("image"))
+def manifest(items: DataFrame, kind: str = "webp") -> DataFrame:
+    """A row for each selected item, failed ones too, with the path of its image; the numbers stand as they are, without zeros before them."""
+    return items.select("section", "section_name", "index", "name", "model_file", F.format_string(f"%d/%d.{kind}", "section", "index").alias("image"))
 
 
 def audit(items: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tesserae.operators.webp import webp
+
 
 def cubic(t: np.ndarray) -> np.ndarray:
     t = np.abs(t)
@@ -202,9 +204,10 @@ def png(img: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", img.shape[1], img.shape[0], 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
-def map_images(images: DataFrame, f, encode: bool = False) -> DataFrame:
-    """f on each image (columns key, width, height, rgba); encode adds png. A row whose bytes don't match its size gets an error."""
-    schema = "key string, width int, height int, rgba binary, error string" + (", png binary" if encode else "")
+def map_images(images: DataFrame, f, encode: str | None = None) -> DataFrame:
+    """f on each image (columns key, width, height, rgba); encode adds a column png or webp. A row whose bytes don't match its size gets an error."""
+    encoder = {None: None, "png": png, "webp": webp}[encode]
+    schema = "key string, width int, height int, rgba binary, error string" + (f", {encode} binary" if encode else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -215,7 +218,7 @@ def map_images(images: DataFrame, f, encode: bool = False) -> DataFrame:
                     rows.append((key, w, h, None, "no image of this size", None))
                     continue
                 out = np.ascontiguousarray(f(np.frombuffer(raw, np.uint8).reshape(h, w, 4)))
-                rows.append((key, out.shape[1], out.shape[0], out.tobytes(), None, png(out) if encode else None))
+                rows.append((key, out.shape[1], out.shape[0], out.tobytes(), None, encoder(out) if encoder else None))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.binary())
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k, _ in zip(zip(*rows, strict=True), kinds, names, strict=False)], names=names)

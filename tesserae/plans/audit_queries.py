@@ -13,6 +13,7 @@ from tesserae.plans.registry import query
 #: Classes of our own for the binding's model names; the engine takes any list. The anchor of the third holds for its first branch only.
 CLASSES = [("brass", "brass"), ("^promo|rge_brand#1", "plated"), ("brand#[34]|m$", "soft"), ("economy|small", "cheap")]
 NAMES = {0: "Swords", 1: "Axes", 2: "Maces and Scepters", 3: "Spears", 4: "Bows and Crossbows", 5: "Staffs", 6: "Shields", 7: "Helms", 12: "Wings and Orbs"}
+NAMED = "case section " + " ".join(f"when {k} then '{v}'" for k, v in NAMES.items()) + " else 'Section ' || section end"
 CLASS_SQL = "case when regexp_matches(model_file, '(?i)brass') then 'brass' when regexp_matches(model_file, '(?i)^promo|rge_brand#1') then 'plated' when regexp_matches(model_file, '(?i)brand#[34]|m$') then 'soft' when regexp_matches(model_file, '(?i)economy|small') then 'cheap' else 'misc' end"
 DIST = lambda c: f"least(({c} - 360 * floor({c} / 360)), 360 - ({c} - 360 * floor({c} / 360)))"
 CAMERA_SQL = f"case when {DIST('(rot_y - 270.0)')} <= 45 then 'correction' when {DIST('(rot_y - 90.0)')} <= 45 then 'fallback' else 'noflip' end"
@@ -55,7 +56,7 @@ def P3_sub_path(spark, sf):
     return table(spark, sf, "pages").where("url is not null").select("page_id", C.sub_path(path, "Data/").alias("sub_dir"))
 
 
-@query(f"with {ITEMS} select section, case section {' '.join(f'when {k} then {chr(39)}{v}{chr(39)}' for k, v in NAMES.items())} else 'Section ' || section end as section_name, count(*) as items from items group by section")
+@query(f"with {ITEMS} select section, {NAMED} as section_name, count(*) as items from items group by section")
 def C11_section_names(spark, sf):
     return items(spark, sf).groupBy("section").agg(F.count("*").alias("items")).withColumn("section_name", C.section_name(F.col("section"), NAMES))
 
@@ -80,9 +81,9 @@ def J1_item_config_left_join(spark, sf):
     return joined(spark, sf).select("section", "index", "has_config", "rot_y", F.round("scale", 6).alias("scale"))
 
 
-@query(f"with {ITEMS} select section, name, \"index\", model_file, lpad(section::varchar, 2, '0') || '/' || case when \"index\" < 1000 then lpad(\"index\"::varchar, 3, '0') else \"index\"::varchar end || '.webp' as image from items")
+@query(f"with {ITEMS} select section, {NAMED} as section_name, \"index\", name, model_file, section || '/' || \"index\" || '.webp' as image from items")
 def K1_manifest(spark, sf):
-    return C.manifest(items(spark, sf))
+    return C.manifest(items(spark, sf).withColumn("section_name", C.section_name(F.col("section"), NAMES)))
 
 
 @query(f"with {ITEMS} select section, string_agg('<Item Index=' || chr(34) || \"index\" || chr(34) || ' Name=' || chr(34) || replace(replace(replace(replace(name || ' <&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') || chr(34) || '/>', chr(10) order by ordinal) as body from items group by section")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.operators import catalogue as C
+from tesserae.operators import images as I
 from tesserae.operators import mesh as M
 from tesserae.operators.camera import screen_boxes
 from tesserae.operators.skeleton import orthographic
-from tesserae.plans.bindings import MESH_NAME, VERTICES, mesh_names, vertices
+from tesserae.plans.bindings import MESH_NAME, TEXELS, VERTICES, mesh_names, texels, vertices
 from tesserae.plans.registry import query
 
 PATTERNS = {"anchored": "^glow_?r$", "parts": ["ade0"], "beginnings": ["skin"]}
@@ -248,3 +249,33 @@ def J8_texture_resolution(spark, sf):
 def X5_inspector(spark, sf):
     s = [F.max(k) - F.min(k) for k in "xyz"]
     return vertices(spark, sf).groupBy("item", "mesh").agg(F.count("*").alias("vertices"), F.count_distinct("node").alias("bones"), F.round(F.sqrt(s[0] * s[0] + s[1] * s[1] + s[2] * s[2]), 6).alias("diagonal"))
+
+
+@query(f"""with {FEATURES},
+used as (select item, mesh, string_agg(distinct node::varchar, ',' order by node::varchar) as bones, count(distinct node) as n_bones from vertices group by item, mesh),
+whole as (select item, max(max_x) - min(min_x) as sx, max(max_y) - min(min_y) as sy, max(max_z) - min(min_z) as sz from m group by item)
+select m.item, m.mesh, m.stem, m.ext, m.nv, m.nt, round(m.max_x - m.min_x, 6) as size_x, round(m.max_y - m.min_y, 6) as size_y, round(m.max_z - m.min_z, 6) as size_z, n_bones, bones, {EFFECT} as effect,
+  round(coalesce(least(sx, sy, sz) / nullif(greatest(sx, sy, sz), 0), 0.0), 6) as flat_ratio
+from m join used using (item, mesh) join whole on whole.item = m.item""")
+def X3_deep_audit(spark, sf):
+    """Each mesh with its size, the bones it uses and its effect test, beside the flatness of its whole item."""
+    v, f, p = vertices(spark, sf), meshes(spark, sf), F.col("path")
+    nodes = F.array_sort(F.collect_set(F.col("node").cast("string")))
+    used = v.groupBy("item", "mesh").agg(F.size(nodes).cast("long").alias("n_bones"), F.array_join(nodes, ",").alias("bones"))
+    sides = [F.max(f"max_{k}") - F.min(f"min_{k}") for k in "xyz"]
+    whole = f.groupBy("item").agg(F.round(F.coalesce(F.least(*sides) / F.nullif(F.greatest(*sides), F.lit(0.0)), F.lit(0.0)), 6).alias("flat_ratio"))
+    sizes = [F.round(M.span(k), 6).alias(f"size_{k}") for k in "xyz"]
+    rows = f.select("item", "mesh", F.lower(C.stem(p)).alias("stem"), C.extension(p).alias("ext"), "nv", "nt", *sizes, effect().alias("effect"))
+    return rows.join(used, ["item", "mesh"]).join(whole, "item")
+
+
+@query(f"""with {FEATURES}, {TEXELS},
+seen as (select image, count(*) filter (where alpha > 0) as visible, count(*) filter (where alpha = 255) as opaque from texels group by image)
+select m.item, m.mesh, m.nv, m.nt, m.ext, {EFFECT} as effect, visible, opaque, case when visible is not null then round(coalesce(100.0 * opaque / nullif(visible, 0), 0.0), 6) end as percent
+from m left join seen on m.k % 11 <> 0 and image = m.k""")
+def X7_texture_opacity(spark, sf):
+    """Each mesh with its effect test and how opaque its texture is; null where the texture isn't found."""
+    f = meshes(spark, sf)
+    k = F.col("item") * 5 + F.col("mesh")
+    rows = f.select("item", "mesh", "nv", "nt", C.extension(F.col("path")).alias("ext"), effect().alias("effect"), F.when(k % 11 != 0, k).alias("image"))
+    return rows.join(I.opaque_ratio(texels(spark, sf)), "image", "left").drop("image")

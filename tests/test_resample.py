@@ -66,7 +66,7 @@ def test_kernel_agrees_with_pixel_table(spark):
     cropped = R.crop_alpha(img)
     assert got == {(x, y): int(cropped[y, x, 3]) for y in range(cropped.shape[0]) for x in range(cropped.shape[1])}
     df = spark.createDataFrame([("a", 8, 8, bytearray(img.tobytes())), ("bad", 9, 9, bytearray(b"x")), (None, None, None, None)], "key string, width int, height int, rgba binary")
-    rows = {r.key: r for r in R.map_images(df, R.crop_alpha, encode=True).collect()}
+    rows = {r.key: r for r in R.map_images(df, R.crop_alpha, encode="png").collect()}
     assert bytes(rows["a"].rgba) == cropped.tobytes() and rows["a"].png and rows["bad"].error and rows[None].error
     assert images.mirror(images.mirror(px, 8), 8).exceptAll(px).count() == 0 and px.where(F.col("alpha") < 0).count() == 0
 
