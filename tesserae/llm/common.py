@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -52,6 +53,18 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
+def lean(run):
+    """run for mapInArrow, after whose last batch the worker gives what it has freed back to the system: it is kept for the next task, and others need the memory meanwhile."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU library has it
+            trim(0)
+
+    return whole
+
+
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     """make() builds, once a task, a function from one Arrow batch as a dict of columns to a dict of columns."""
     names = [x.split()[0] for x in schema.split(",")]
@@ -64,7 +77,7 @@ def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[k] for k in names)], names=names)
 
-    return small_batches(df).mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(lean(run), schema)
 
 
 class Forest:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import HOT_KEYS, LEAST_HOT, cut, small_batches
+from tesserae.llm.common import HOT_KEYS, LEAST_HOT, cut, lean, small_batches
 
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
@@ -523,14 +523,14 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.crc32(text).alias("tag"), text.alias("text"), F.struct(F.lit(0).alias("_"), *[c for c in df.columns if c != text_col]).alias("row"))
-    sent = docs.where(F.length("text") >= LENGTH).select("doc", "tag", "text").mapInArrow(_send_anchors(shards), "shard int, kind int, blob binary")
-    found = cut(sent.repartition("shard").select("kind", "blob").mapInArrow(_name_shards, FOUND), "anchors")
+    sent = docs.where(F.length("text") >= LENGTH).select("doc", "tag", "text").mapInArrow(lean(_send_anchors(shards)), "shard int, kind int, blob binary")
+    found = cut(sent.repartition("shard").select("kind", "blob").mapInArrow(lean(_name_shards), FOUND), "anchors")
     counts = found.where("h is not null").groupBy("h").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = {r.h for r in counts.where(F.col("n") > max(LEAST_HOT, total // HOT_KEYS)).select("h").collect()}
     rest = found.where("h is not null").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "start", "dlo", "dhi")).alias("rest"))
     open_ = docs.join(rest, ["doc", "tag"], "left").where("rest is not null").select("doc", "tag", "text", "rest")
-    more = open_.mapInArrow(_send_contexts(shards, hot), "shard int, blob binary").repartition("shard").select("blob").mapInArrow(_sort_shards, FOUND)
+    more = open_.mapInArrow(lean(_send_contexts(shards, hot)), "shard int, blob binary").repartition("shard").select("blob").mapInArrow(lean(_sort_shards), FOUND)
     marks = found.where("h is null").unionByName(more).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     return docs.join(marks, ["doc", "tag"], "left").select("doc", "text", "row", "marks")
 
@@ -566,7 +566,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(k, pa.int64()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = spans(df.select(id_col, text_col), id_col, text_col).select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), "text", "marks")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -578,5 +578,5 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
 
     rows = spans(df, id_col, text_col).select("row", "text", "marks")
-    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("kept", T.StringType())]))
+    out = rows.mapInArrow(lean(run), T.StructType([rows.schema["row"], T.StructField("kept", T.StringType())]))
     return out.select(*[F.col("kept").alias(text_col) if c == text_col else F.col(f"row.{c}").alias(c) for c in df.columns])
